@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gradewise.llm.common import map_texts, table
 
 #: Most entries that a task's cache of words holds before it is emptied.
-CACHE = 300_000
+CACHE = 500_000
 #: Most leaves that are in work at once.
 LEAVES = 1 << 19
 NONE = np.int64(1) << 62
@@ -196,7 +196,10 @@ class Codec:
         out, ids = [], self.vocabulary.special
         as_is, after_space = self.bare.__getitem__, self.spaced.__getitem__
         for chunks in work:
-            out.append(b"".join(x for i, c in enumerate(chunks) for x in ((ids[c].to_bytes(4, "little"),) if i % 2 else (*map(as_is, c[0]), *map(after_space, c[1])))))
+            parts = []
+            for i, c in enumerate(chunks):
+                parts.append(ids[c].to_bytes(4, "little") if i % 2 else b"".join([*map(as_is, c[0]), *map(after_space, c[1])]))
+            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         for d in (self.bare, self.spaced):
             if len(d) > self.cache:
                 d.clear()
