@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradewise.llm.common import map_texts, table
 
-#: Most entries that a task's cache of words holds before it is emptied.
-CACHE = 500_000
+#: Most entries that a worker's cache of words holds before half of it is emptied.
+CACHE = 1_200_000
 #: Most leaves that are in work at once.
 LEAVES = 1 << 19
 NONE = np.int64(1) << 62
@@ -167,21 +168,35 @@ class Codec:
         words = text.split(" ")
         return words[:1] if words[0] else [], words[1:]
 
+    def _split(self, words: set[str], before: str) -> dict[str, list[str]]:
+        """The pre-tokens of each chunk that isn't letters alone, which is one pre-token."""
+        find, out = self.pattern.findall, {}
+        for w in words:
+            if w[-1:] in ",." and w[:-1].isalpha():
+                out[w] = [before + w[:-1], w[-1]]
+            else:
+                out[w] = find(before + w)
+        return out
+
     def _learn(self, bare: set[str], spaced: set[str]) -> None:
         bare -= self.bare.keys()
         spaced -= self.spaced.keys()
-        split = lambda w: [w] if w.isalpha() else self.pattern.findall(w)
-        new_bare = {w: split(w) for w in bare}
-        new_spaced = {w: [" " + w] if w.isalpha() else self.pattern.findall(" " + w) for w in spaced}
+        letters = [w for w in spaced if w.isalpha()]
+        spaced.difference_update(letters)
+        split_bare, split_spaced = self._split(bare, ""), self._split(spaced, " ")
         pieces = set()
-        for found in (new_bare, new_spaced):
+        for found in (split_bare, split_spaced):
             for x in found.values():
                 pieces.update(x)
-        pieces = list(pieces - self.bare.keys())
-        self.bare.update(zip(pieces, merge(self.vocabulary, [p.encode() for p in pieces]), strict=True))
-        get = self.bare.__getitem__
-        self.spaced.update((w, b"".join(map(get, x))) for w, x in new_spaced.items())
-        self.bare.update([(w, b"".join(map(get, x))) for w, x in new_bare.items()])
+        # A space and letters stands among the spaced chunks, under its letters.
+        letters += {p[1:] for p in pieces if p[0] == " " and p[1:].isalpha()}.difference(self.spaced, letters)
+        pieces = [p for p in pieces.difference(self.bare) if not (p[0] == " " and p[1:].isalpha())]
+        made = merge(self.vocabulary, [p.encode() for p in pieces] + [b" " + w.encode() for w in letters])
+        self.bare.update(zip(pieces, made, strict=False))
+        self.spaced.update(zip(letters, made[len(pieces) :], strict=True))
+        get = lambda p: self.spaced[p[1:]] if p[0] == " " and p[1:].isalpha() else self.bare[p]
+        self.spaced.update([(w, b"".join(map(get, x))) for w, x in split_spaced.items()])
+        self.bare.update([(w, b"".join(map(get, x))) for w, x in split_bare.items()])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         work, bare, spaced = [], set(), set()
@@ -200,9 +215,11 @@ class Codec:
             for i, c in enumerate(chunks):
                 parts.append(ids[c].to_bytes(4, "little") if i % 2 else b"".join([*map(as_is, c[0]), *map(after_space, c[1])]))
             out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        for d in (self.bare, self.spaced):
-            if len(d) > self.cache:
-                d.clear()
+        # What came first tends to be frequent and stays.
+        if len(self.bare) > self.cache:
+            self.bare = dict(islice(self.bare.items(), self.cache // 2))
+        if len(self.spaced) > self.cache:
+            self.spaced = dict(islice(self.spaced.items(), self.cache // 2))
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -73,19 +73,26 @@ class Shard:
         doc, term, tf = np.repeat(np.arange(n), sizes), np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         length = np.bincount(doc, tf, n)
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
+        doc = doc[order]
         vocabulary, first, df = np.unique(term[order], return_index=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         tf = tf[order]
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / max(length.mean(), 1))[self.doc]))
-        self.first, self.df, self.n = first, df, n
-        self.terms = [np.searchsorted(vocabulary, t) for t in terms]
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / max(length.mean(), 1))[doc]))
+        # Postings by term; a term of one document leads to no neighbour.
+        shared = df > 1
+        ends = list(zip(first[shared].tolist(), (first + df)[shared].tolist(), strict=True))
+        self.docs, self.weights = [doc[a:b] for a, b in ends], [weight[a:b] for a, b in ends]
+        self.n = n
+        number = np.where(shared, np.cumsum(shared) - 1, -1)
+        found = [number[np.searchsorted(vocabulary, t)] for t in terms]
+        self.terms = [x[x >= 0].tolist() for x in found]
 
     def scores(self, seed: int) -> np.ndarray:
         """Each document's score for the terms of ``seed``."""
-        first, df = self.first[self.terms[seed]], self.df[self.terms[seed]]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(df)[:-1]]), df) + np.arange(df.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        terms = self.terms[seed]
+        if not terms:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.weights[t] for t in terms]), self.n)
 
 
 def fill_windows(rests: list[int], index: Shard, window: int) -> list[list[tuple[int, int, int]]]:
