@@ -47,17 +47,29 @@ def _tokenized(docs: DataFrame, path: str, window: int, text: str, keep: list[st
         c = codec(path)
         kind = "<u2" if c.vocabulary.base <= 1 << 16 else "<u4"
 
+        end = np.uint32(END).tobytes()
+
         def apply(texts: list[bytes]) -> list:
-            out: list[list] = [[] for _ in range(7)]
-            for raw in c.encode(texts):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END))
-                whole = len(ids) // window * window
-                head, counts = np.unique(ids[:whole], return_counts=True)
-                low = [int(((ids * np.uint32(m)) ^ (ids >> 7)).min()) for m in MIX]
-                row = len(ids), [crc(ids[i : i + window]) for i in range(0, whole, window)], ids[whole:].astype(kind).tobytes(), head.astype(kind).tobytes(), counts.astype("<u4").tobytes(), *low
-                for x, y in zip(out, row, strict=True):
-                    x.append(y)
-            return out
+            raws = [x + end for x in c.encode(texts)]
+            ids = np.frombuffer(b"".join(raws), "<u4")
+            sizes = [len(x) // 4 for x in raws]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            mixed = ids >> np.uint32(7)
+            low = [np.minimum.reduceat((ids * np.uint32(m)) ^ mixed, starts).tolist() for m in MIX]
+            short = ids.astype(kind)
+            crcs, rests, heads, counts = [], [], [], []
+            for raw, start, n in zip(raws, starts.tolist(), sizes, strict=True):
+                whole = n // window * window
+                crcs.append([zlib.crc32(raw[4 * i : 4 * (i + window)]) for i in range(0, whole, window)])
+                rests.append(short[start + whole : start + n].tobytes())
+                if whole:
+                    head, k = np.unique(short[start : start + whole], return_counts=True)
+                    heads.append(head.tobytes())
+                    counts.append(k.astype("<u4").tobytes())
+                else:
+                    heads.append(b"")
+                    counts.append(b"")
+            return [sizes, crcs, rests, heads, counts, *low]
 
         return apply
 
@@ -159,8 +171,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
             if members:
                 terms, counts = [], []
                 for d in members:
-                    t, c = np.unique(np.concatenate([own[d], np.frombuffer(head[d], kind)]), return_inverse=True)
-                    tf = np.bincount(c, np.concatenate([np.ones(len(own[d])), np.frombuffer(head_counts[d], "<u4")]))
+                    t, tf = np.unique(own[d], return_counts=True)
+                    if head[d]:
+                        t, c = np.unique(np.concatenate([t, np.frombuffer(head[d], kind)]), return_inverse=True)
+                        tf = np.bincount(c, np.concatenate([tf, np.frombuffer(head_counts[d], "<u4")]))
                     terms.append(t), counts.append(tf)
                 for pieces in fill_windows([len(own[d]) for d in members], Shard(terms, counts), window):
                     at = 0
