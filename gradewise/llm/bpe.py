@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gradewise.llm.common import map_texts, table
 
 #: Most entries that a worker's cache of words holds before half of it is emptied.
-CACHE = 1_200_000
+CACHE = 500_000
+#: Entries that it holds between tasks, as idle workers keep their memory.
+IDLE = 100_000
 #: Most leaves that are in work at once.
 LEAVES = 1 << 19
 NONE = np.int64(1) << 62
@@ -215,13 +217,14 @@ class Codec:
             for i, c in enumerate(chunks):
                 parts.append(ids[c].to_bytes(4, "little") if i % 2 else b"".join([*map(as_is, c[0]), *map(after_space, c[1])]))
             out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        # What came first tends to be frequent and stays.
-        if len(self.bare) > self.cache:
-            self.bare = dict(islice(self.bare.items(), self.cache // 2))
-        if len(self.spaced) > self.cache:
-            self.spaced = dict(islice(self.spaced.items(), self.cache // 2))
+        if len(self.bare) + len(self.spaced) > self.cache:
+            self.trim(self.cache // 4)
         return out
 
+    def trim(self, most: int) -> None:
+        """Leaves the entries that came first in each cache, which tend to be frequent."""
+        self.bare, self.spaced = dict(islice(self.bare.items(), most)), dict(islice(self.spaced.items(), most))
+
     def decode(self, ids: bytes) -> str:
         token = self.vocabulary.bytes.__getitem__
         return b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -248,6 +251,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
             ids = c.encode(texts)
             return [ids, [c.decode(x) for x in ids]]
 
+        apply.close = lambda: c.trim(IDLE // 2)
         return apply
 
     return map_texts(docs, make, "token_ids binary, decoded string", keep, text)
@@ -265,6 +269,7 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text", keep: lis
             ids = c.encode(texts)
             return [[len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(c.decode(x).encode()) for x in ids]]
 
+        apply.close = lambda: c.trim(IDLE // 2)
         return apply
 
     return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, text)

@@ -66,7 +66,7 @@ def map_texts(
     """Appends columns computed from each whole text, in one narrow pass without a shuffle.
 
     ``make()`` runs once a task and returns a function from a list of UTF-8 texts to the lists
-    of the new columns (DDL ``new``). ``keep`` (all, if None) pass through; a kept column that
+    of the new columns (DDL ``new``); its attribute ``close``, if any, is called at the task's end. ``keep`` (all, if None) pass through; a kept column that
     has the name of a new one gives way to it.
     """
     spark = docs.sparkSession
@@ -86,6 +86,7 @@ def map_texts(
                 out = apply(raw.slice(lo, hi - lo).to_pylist())
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in held] + made, names=names)
+        getattr(apply, "close", lambda: None)()
 
     return source.mapInArrow(run, schema)
 

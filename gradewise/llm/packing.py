@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewise.llm.bpe import codec
+from gradewise.llm.bpe import IDLE, codec
 from gradewise.llm.common import cut, map_arrow, map_texts, quoted, table
 
 WINDOW = 1024
@@ -71,6 +71,7 @@ def _tokenized(docs: DataFrame, path: str, window: int, text: str, keep: list[st
                     counts.append(b"")
             return [sizes, crcs, rests, heads, counts, *low]
 
+        apply.close = lambda: c.trim(IDLE // 2)
         return apply
 
     return map_texts(docs, make, "doc_tokens bigint, head_crcs array<bigint>, rest binary, head binary, head_counts binary, low1 bigint, low2 bigint", keep, text)
@@ -90,21 +91,29 @@ class Shard:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         tf = tf[order]
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / max(length.mean(), 1))[doc]))
-        # Postings by term; a term of one document leads to no neighbour.
-        shared = df > 1
+        # A term of one document leads to no neighbour. Terms of many documents are columns of a
+        # dense matrix, whose sums are one product; the others have postings.
+        often, shared = df > n // 8, (df > 1) & (df <= n // 8)
+        column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((n, int(often.sum())))
+        where, at = np.repeat(column, df), np.repeat(often, df)
+        self.dense[doc[at], where[at]] = weight[at]
         ends = list(zip(first[shared].tolist(), (first + df)[shared].tolist(), strict=True))
         self.docs, self.weights = [doc[a:b] for a, b in ends], [weight[a:b] for a, b in ends]
         self.n = n
         number = np.where(shared, np.cumsum(shared) - 1, -1)
-        found = [number[np.searchsorted(vocabulary, t)] for t in terms]
-        self.terms = [x[x >= 0].tolist() for x in found]
+        found = [np.searchsorted(vocabulary, t) for t in terms]
+        self.columns = [c[c >= 0] for c in (column[x] for x in found)]
+        self.terms = [x[x >= 0].tolist() for x in (number[x] for x in found)]
 
     def scores(self, seed: int) -> np.ndarray:
         """Each document's score for the terms of ``seed``."""
-        terms = self.terms[seed]
-        if not terms:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.weights[t] for t in terms]), self.n)
+        asked = np.zeros(self.dense.shape[1])
+        asked[self.columns[seed]] = 1
+        out, terms = self.dense @ asked, self.terms[seed]
+        if terms:
+            out += np.bincount(np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.weights[t] for t in terms]), self.n)
+        return out
 
 
 def fill_windows(rests: list[int], index: Shard, window: int) -> list[list[tuple[int, int, int]]]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradewise.llm.common import map_texts, table
 
-#: Most entries that a task's cache of pre-tokens holds before it is emptied.
-CACHE = 500_000
+#: Most entries that a worker's cache of pre-tokens holds before half of it is emptied.
+CACHE = 400_000
+#: Entries that it holds between tasks, as idle workers keep their memory.
+IDLE = 100_000
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 LIMIT = 4096
@@ -164,11 +167,14 @@ class Counter:
             work.append(chunks)
         self._learn(bare, spaced)
         out = [sum(map(self.bare.__getitem__, a)) + sum(map(self.spaced.__getitem__, b)) for a, b in work]
-        for d in (self.bare, self.spaced):
-            if len(d) > self.cache:
-                d.clear()
+        if len(self.bare) + len(self.spaced) > self.cache:
+            self.trim(self.cache // 4)
         return out
 
+    def trim(self, most: int) -> None:
+        """Leaves the entries that came first in each cache, which tend to be frequent."""
+        self.bare, self.spaced = dict(islice(self.bare.items(), most)), dict(islice(self.spaced.items(), most))
+
 
 _COUNTERS: dict[str, Counter] = {}
 
@@ -185,6 +191,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
             n = counter.count(texts)
             return [list(map(len, texts)), n, [x > limit for x in n]]
 
+        apply.close = lambda: counter.trim(IDLE // 2)
         return apply
 
     return map_texts(docs, make, "n_bytes bigint, n_tokens bigint, over_limit boolean", keep, text)
