@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gradewise.llm.common import map_texts, table
 
 #: Most entries that a worker's cache of words holds before half of it is emptied.
-CACHE = 500_000
+CACHE = 150_000
 #: Entries that it holds between tasks, as idle workers keep their memory.
-IDLE = 100_000
+IDLE = 50_000
 #: Most leaves that are in work at once.
 LEAVES = 1 << 19
 NONE = np.int64(1) << 62

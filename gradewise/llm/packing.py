@@ -162,7 +162,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL(OUT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if codec_base(path) <= 1 << 16 else "<u4"
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 33
         held: list[pa.RecordBatch] = []
@@ -170,6 +169,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
         def packed(rows: pa.Table) -> pa.RecordBatch:
             nonlocal number
             ids, total, heads, rests, head, head_counts = (rows.column(i).to_pylist() if i else rows.column(0).combine_chunks() for i in range(6))
+            # Bytes of an id: as the first pass wrote them.
+            width = next((len(x) // (n - len(h) * window) for x, n, h in zip(rests, total, heads, strict=True) if x), 4)
+            kind = f"<u{width}"
             out: list[tuple] = []
             for d, crcs in enumerate(heads):
                 for i, x in enumerate(crcs):
@@ -209,10 +211,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
     return map_arrow(dealt.select(quoted(id_col), "doc_tokens", "head_crcs", "rest", "head", "head_counts"), run, schema)
 
 
-def codec_base(path: str) -> int:
-    return codec(path).vocabulary.base
-
-
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gradewise.llm.common import map_texts, table
 
 #: Most entries that a worker's cache of pre-tokens holds before half of it is emptied.
-CACHE = 400_000
+CACHE = 200_000
 #: Entries that it holds between tasks, as idle workers keep their memory.
-IDLE = 100_000
+IDLE = 50_000
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 LIMIT = 4096
