@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CARD = T.StructType.fromDDL(
-    "id string, name string, model string, img string, snkUrl string, price double, snkPsa10Price double, snkPsa10Min double, tv7 bigint, tv30 bigint, p10tv7 bigint, p10tv30 bigint, "
-    "chg7 double, chg30 double, tvel double, days double, tLastAt string, snkListings bigint, cardrushUrl string"
+#: The published card relation.
+CARD = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("id", "name", "model", "img", "snkUrl")]
+    + [T.StructField(c, T.DoubleType()) for c in ("price", "snkPsa10Price", "snkPsa10Min")]
+    + [T.StructField(c, T.LongType()) for c in ("tv7", "tv30", "p10tv7", "p10tv30")]
+    + [T.StructField(c, T.DoubleType()) for c in ("chg7", "chg30", "tvel", "days")]
+    + [T.StructField("tLastAt", T.StringType()), T.StructField("snkListings", T.LongType()), T.StructField("cardrushUrl", T.StringType())]
 )
 
 
