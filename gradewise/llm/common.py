@@ -87,6 +87,7 @@ def map_texts(
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in held] + made, names=names)
         getattr(apply, "close", lambda: None)()
+        pa.default_memory_pool().release_unused()  # idle workers keep what they hold
 
     return source.mapInArrow(run, schema)
 

@@ -185,6 +185,13 @@ def test_packing(docs):
     assert all(total[d] == len(t) * copies[d] for d, t in texts.items())
 
 
+def test_packing_encodes_as_the_library():
+    lib, (encode, _) = Tokenizer.from_file(BPE), packing.encoder(BPE)
+    letters = [chr(c) for c in (*range(1, 0x300), 0x85, 0xA0, 0xBD, 0x660, 0x200D, 0x2003, 0x2028, 0x3000, 0x4E00, 0xFEFF, 0x1F600)] + [" "] * 200 + ["\n"] * 50 + ["'"] * 20
+    texts = ["", " " * 50_000, "x" + "\n" * 50_000 + "y", "^" * 50_000, "z " * 20_000, "a  <|endoftext|>  b <|endoftext|>", *("".join(RND.choices(letters, k=RND.randrange(60))) for _ in range(3000))]
+    assert all(encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_warc(spark):
     at = "2024-01-0{} 00:00:00".format
     rows = [
