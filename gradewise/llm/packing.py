@@ -2,11 +2,13 @@
 
 A first pass takes each text's ids once: pieces that fill a window are digested at once and only
 the rest of the ids, with the counts of the ids before it, goes on (written to the checkpoint
-folder, as range partitioning looks at its input twice). Rests are ordered by two minimum hashes
-over their document's ids, so that lexically close documents stand together, ranges of that order
-are dealt out evenly, with the id as last key, so that a group of copies of any size is split, and
-each range is cut into shards of a fixed number of documents. A shard has a BM25 inverted index of
-its documents. Each seed (the first unused rest) asks it for unused neighbours, best first: those
+folder, as range partitioning looks at its input twice). Document frequencies and the mean length
+are taken over all documents. Rests are ordered by two minimum hashes over their document's ids
+(without the end id, which all have), so that documents that share most of their ids tend to stand
+together, ranges of that order are dealt out evenly, with the id as last key, so that a group of
+copies of any size is split, and each range is cut into shards of a fixed number of documents. A
+shard has a BM25 inverted index of its documents, so retrieval is local: a neighbour in another
+shard is not found (the README says how many are). Each seed (the first unused rest) asks it for unused neighbours, best first: those
 that fit fill the window, and the best that doesn't is cut where the window ends. Only the last
 window of a shard can stay short.
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradewise.llm.bpe import Vocabulary, merge
@@ -42,12 +45,19 @@ END = 0
 LONG_RUN = re.compile(r"\s{1000}")
 #: Odd multipliers of the two minimum hashes.
 MIX = (0x9E3779B1, 0x85EBCA6B)
+#: Minimum hash of a document without ids (the end id has none).
+NO_HASH = np.uint32(0xFFFFFFFF)
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def id_type(v: Vocabulary) -> str:
+    """The narrowest type of a vocabulary's ids."""
+    return "<u2" if v.base <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[Callable[[str], np.ndarray], str]:
     """The worker process's function from a text to the ids that tokenizers gives for a
@@ -66,7 +76,7 @@ def encoder(path: str) -> tuple[Callable[[str], np.ndarray], str]:
         return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     v = Vocabulary(path)
-    kind = "<u2" if v.base <= 1 << 16 else "<u4"
+    kind = id_type(v)
     tokens = {b: i for i, b in enumerate(v.bytes) if b and i not in v.special.values()}
     if not (np.diff(v.made) > 0).all() or any(m != np.uint32(i).tobytes() for i, m in zip(tokens.values(), merge(v, list(tokens)), strict=True)):
         return slow, kind
@@ -89,7 +99,7 @@ def _tokenized(docs: DataFrame, path: str, window: int, text: str, keep: list[st
             sizes = [len(x) // 4 for x in raws]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             mixed = ids >> np.uint32(7)
-            low = [np.minimum.reduceat((ids * np.uint32(m)) ^ mixed, starts).tolist() for m in MIX]
+            low = [np.minimum.reduceat(np.where(ids == END, NO_HASH, (ids * np.uint32(m)) ^ mixed), starts).tolist() for m in MIX]
             short = ids.astype(kind)
             crcs, rests, heads, counts = [], [], [], []
             for raw, start, n in zip(raws, starts.tolist(), sizes, strict=True):
@@ -110,10 +120,43 @@ def _tokenized(docs: DataFrame, path: str, window: int, text: str, keep: list[st
     return map_texts(docs, make, "doc_tokens bigint, head_crcs array<bigint>, rest binary, head binary, head_counts binary, low1 bigint, low2 bigint", keep, text)
 
 
+def id_counts(rest: np.ndarray, head: bytes, head_counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document and how often each stands in it."""
+    t, tf = np.unique(rest, return_counts=True)
+    if head:
+        t, c = np.unique(np.concatenate([t, np.frombuffer(head, rest.dtype)]), return_inverse=True)
+        tf = np.bincount(c, np.concatenate([tf, np.frombuffer(head_counts, "<u4")]))
+    return t, tf
+
+
+#: Documents, their mean length, their distinct ids in order, and in how many documents each stands.
+Statistics = tuple[int, float, np.ndarray, np.ndarray]
+
+
+def statistics(tokens: DataFrame, kind: str) -> Statistics:
+    """Of all documents; one row for each id is collected, so no more than the vocabulary has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for rest, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = np.unique(np.concatenate([np.frombuffer(rest, kind), np.frombuffer(head, kind)]))
+                if len(t) and t[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)])
+                df[t] += 1
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found])], names=["term", "df"])
+
+    rows = map_arrow(tokens.select("rest", "head"), run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    n, mean = tokens.agg(F.count("*"), F.avg("doc_tokens")).first()
+    found = np.array(sorted((r["term"], r["df"]) for r in rows), np.int64).reshape(-1, 2)
+    return n, mean or 1.0, found[:, 0], found[:, 1]
+
+
 class Shard:
-    """A BM25 inverted index over the ids of some documents."""
+    """A BM25 inverted index over the ids of some documents, weighted by the statistics of all."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], of_all: Statistics):
         n = len(terms)
         sizes = np.fromiter(map(len, terms), np.int64, n)
         doc, term, tf = np.repeat(np.arange(n), sizes), np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
@@ -121,9 +164,11 @@ class Shard:
         order = np.argsort(term, kind="stable")
         doc = doc[order]
         vocabulary, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        n_all, mean, known, df_all = of_all
+        spread = df_all[np.searchsorted(known, vocabulary)]
+        idf = np.log1p((n_all - spread + 0.5) / (spread + 0.5))
         tf = tf[order]
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / max(length.mean(), 1))[doc]))
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / max(mean, 1))[doc]))
         # A term of one document leads to no neighbour. Terms of many documents are columns of a
         # dense matrix, whose sums are one product; the others have postings.
         often, shared = df > n // 8, (df > 1) & (df <= n // 8)
@@ -189,6 +234,8 @@ OUT = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequenc
 def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = cut(_tokenized(docs, path, window, text, [id_col]))
+    kind = id_type(Vocabulary(path))
+    of_all = statistics(tokens, kind)
     dealt = tokens.repartitionByRange("low1", "low2", quoted(id_col)).sortWithinPartitions("low1", "low2", quoted(id_col))
     from pyspark.sql import types as T
 
@@ -202,9 +249,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
         def packed(rows: pa.Table) -> pa.RecordBatch:
             nonlocal number
             ids, total, heads, rests, head, head_counts = (rows.column(i).to_pylist() if i else rows.column(0).combine_chunks() for i in range(6))
-            # Bytes of an id: as the first pass wrote them.
-            width = next((len(x) // (n - len(h) * window) for x, n, h in zip(rests, total, heads, strict=True) if x), 4)
-            kind = f"<u{width}"
             out: list[tuple] = []
             for d, crcs in enumerate(heads):
                 for i, x in enumerate(crcs):
@@ -215,12 +259,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, t
             if members:
                 terms, counts = [], []
                 for d in members:
-                    t, tf = np.unique(own[d], return_counts=True)
-                    if head[d]:
-                        t, c = np.unique(np.concatenate([t, np.frombuffer(head[d], kind)]), return_inverse=True)
-                        tf = np.bincount(c, np.concatenate([tf, np.frombuffer(head_counts[d], "<u4")]))
+                    t, tf = id_counts(own[d], head[d], head_counts[d])
                     terms.append(t), counts.append(tf)
-                for pieces in fill_windows([len(own[d]) for d in members], Shard(terms, counts), window):
+                for pieces in fill_windows([len(own[d]) for d in members], Shard(terms, counts, of_all), window):
                     at = 0
                     for m, start, n in pieces:
                         d = members[m]

@@ -185,6 +185,32 @@ def test_packing(docs):
     assert all(total[d] == len(t) * copies[d] for d, t in texts.items())
 
 
+def test_packing_brings_close_documents_together(spark):
+    """Documents of the same words, with ids far apart, fill one window (shards of 8 of 64)."""
+    rnd = random.Random(3)
+    words = [[rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") + rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(20)] for _ in range(32)]
+    df = spark.createDataFrame([(i + 1000 * k, " ".join([*w, *w[:1]] if k else [*w, *w[1:2]])) for i, w in enumerate(words) for k in (0, 1)], "doc_id bigint, text string")
+    rows = packing._tokenized(df, BPE, 1024, "text", ["doc_id"]).collect()
+    assert len({(r["low1"], r["low2"]) for r in rows}) > 16
+    pieces = packing.pack(df, BPE, window=2 * max(r["doc_tokens"] for r in rows), shard=8).collect()
+    parts = [{d: {r["sequence_id"] for r in pieces if r["doc_id"] == d} for d in (i, i + 1000)} for i in range(32)]
+    assert sum(bool(p[i] & p[i + 1000]) for i, p in enumerate(parts)) >= 16
+
+
+def test_packing_weighs_by_all_documents(spark):
+    rows = [(i, "a" * (i % 3 + 1) + (" rare" if i == 7 else "")) for i in range(30)] + [(90, None)]
+    tokens = packing._tokenized(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), BPE, 1024, "text", ["doc_id"])
+    lib, want = Tokenizer.from_file(BPE), Counter()
+    texts = [lib.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows]
+    for ids in texts:
+        want.update(set(ids))
+    n, mean, known, df = packing.statistics(tokens, packing.encoder(BPE)[1])
+    assert (n, dict(zip(known.tolist(), df.tolist(), strict=True))) == (31, dict(want)) and abs(mean - sum(map(len, texts)) / 31) < 1e-9
+    term, one = [np.array([5]), np.array([5])], [np.array([1]), np.array([1])]
+    seldom, often = (packing.Shard(term, one, (100, 1.0, np.array([5]), np.array([k]))).scores(0)[1] for k in (2, 90))
+    assert seldom > often > 0
+
+
 def test_packing_encodes_as_the_library():
     lib, (encode, _) = Tokenizer.from_file(BPE), packing.encoder(BPE)
     letters = [chr(c) for c in (*range(1, 0x300), 0x85, 0xA0, 0xBD, 0x660, 0x200D, 0x2003, 0x2028, 0x3000, 0x4E00, 0xFEFF, 0x1F600)] + [" "] * 200 + ["\n"] * 50 + ["'"] * 20
