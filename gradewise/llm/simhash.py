@@ -176,11 +176,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "doc_id", name: str = "fp") -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "doc_id", name: str = "fp", edges: DataFrame | None = None) -> DataFrame:
     """(fp, root, component_id) for each distinct fingerprint of ``rows``: root names its component,
-    component_id is the smallest id of a row whose fingerprint can be reached over links."""
+    component_id is the smallest id of a row whose fingerprint can be reached over links (``edges``,
+    if given)."""
     least = cut(rows.groupBy(quoted(name).alias("fp")).agg(F.min(quoted(id_col)).alias("least")))
-    found = components(links(least.select("fp")))
+    found = components(links(least.select("fp")) if edges is None else edges)
     roots = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # A root is a fingerprint: its component's id is the smallest of its members' ids.
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -191,14 +192,20 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, text: str = "text"
     """The rows of ``docs`` that stay: of each component the one with the smallest id (null ids
     come after all others; of rows that share id and fingerprint, any one)."""
     rows = cut(with_fingerprint(docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")), words, keep=["id"]))
+    return one_of_each(docs, rows, lambda d, name: with_fingerprint(d, words, name, text), None, id_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, mark: Callable[[DataFrame, str], DataFrame], edges: DataFrame | None, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, by the id and fp of ``rows`` and the links between fps;
+    ``mark`` adds the fp to documents in a column of a given name."""
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("r"))
-    chosen = least.join(near_duplicates(rows, "id"), "fp").groupBy("root").agg(F.min(F.struct("r", "fp")).alias("c"))
+    chosen = least.join(near_duplicates(rows, "id", edges=edges), "fp").groupBy("root").agg(F.min(F.struct("r", "fp")).alias("c"))
     chosen = cut(chosen.select(F.col("c.r.id").alias("__id"), F.col("c.fp").alias("__of")))
     own = quoted(id_col).eqNullSafe(F.col("__id"))
     if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs.join(chosen, own, "left_semi")
     # Rows that share an id are told apart by fingerprint, and of those that share both one stays.
-    marked = with_fingerprint(docs, words, "__fp", text)
+    marked = mark(docs, "__fp")
     here = own & (F.col("__fp") == F.col("__of"))
     repeated = rows.groupBy(F.col("id").alias("__id"), F.col("fp").alias("__of")).agg(F.count("*").alias("n")).where("n > 1")
     kept = marked.join(chosen, here, "left_semi")
