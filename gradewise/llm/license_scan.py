@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block (a window of a text's words, twice as long as a notice and overlapping the next by half, so
-that every passage of a notice's length lies in one) meets a notice if it holds at least ``THRESHOLD``
+A block (a window of a text's words that starts every ``stride`` words, as many as a notice has
+distinct words, and is as long as the stride and the whole notice, repeats included, so that every
+passage of a notice's length lies in one) meets a notice if it holds at least ``THRESHOLD``
 of the notice's distinct words. The notices are a small constant table, so the join is made on the
 side of the documents, without a shuffle of texts:
 
@@ -89,12 +90,13 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.filter(starts, lambda i: reduce(Column.__and__, [F.get(words, i + j) == p for j, p in enumerate(parts)]))
 
 
-def best_containment(words: Column, hits: Column, ordered: list[str], need: int, prefix: list[str]) -> Column:
-    """The largest share of a notice's words (rarest first in ``ordered``) that a block of the text
-    has, where the filters leave it a chance to reach ``need`` words; else 0."""
-    n, window = len(ordered), 2 * len(ordered)
+def best_containment(words: Column, hits: Column, ordered: list[str], length: int, need: int, prefix: list[str]) -> Column:
+    """The largest share of a notice's words (rarest first in ``ordered``; ``length`` with repeats)
+    that a block of the text has, where the filters leave it a chance to reach ``need`` words; else 0."""
+    n = len(ordered)
+    window = n + length
     whole, first = literal(ordered), literal(prefix)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n, F.lit(1)), F.lit(n))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(1)), F.lit(n))
     blocks = F.transform(starts, lambda i: F.slice(words, i, window))
 
     def chance(found: Column, size: Column) -> Column:
@@ -109,23 +111,24 @@ def best_containment(words: Column, hits: Column, ordered: list[str], need: int,
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    distinct = {label: list(dict.fromkeys(notice_words(t))) for label, t in notices.items()}
+    whole = {label: notice_words(t) for label, t in notices.items()}
+    distinct = {label: list(dict.fromkeys(ws)) for label, ws in whole.items()}
     seen = document_frequencies(docs, sorted({w for ws in distinct.values() for w in ws}), text)
     plans = []
     for label, ws in distinct.items():
         ordered = sorted(ws, key=lambda w: (seen.get(w, 0), w))
         need = math.ceil(threshold * len(ordered) - 1e-9)
-        plans.append((label, ordered, need, ordered[: len(ordered) - need + 1]))
+        plans.append((label, ordered, len(whole[label]), need, ordered[: len(ordered) - need + 1]))
     kept = [quoted(c) for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
     rows = docs.select(*kept, words_of(quoted(text)).alias("__words"))
     words = F.col("__words")
     marks = sorted({p.split(" ")[-1] if p != "cc by" else "cc" for p in phrases})
-    rows = rows.withColumn("__hits", F.array_intersect(words, literal(sorted({w for p in plans for w in p[3]} | set(marks)))))
+    rows = rows.withColumn("__hits", F.array_intersect(words, literal(sorted({w for p in plans for w in p[4]} | set(marks)))))
     hits = F.col("__hits")
     none = F.array().cast("array<int>")
     may = F.arrays_overlap(hits, literal(marks))
     rows = rows.withColumn("__places", F.when(may, F.array(*[phrase_places(words, p) for p in phrases])).otherwise(F.array(*[none for _ in phrases])))
-    scores = F.when(F.size(hits) > 0, F.array(*[best_containment(words, hits, o, need, prefix) for _, o, need, prefix in plans])).otherwise(F.array(*[F.lit(0.0) for _ in plans]))
+    scores = F.when(F.size(hits) > 0, F.array(*[best_containment(words, hits, o, length, need, prefix) for _, o, length, need, prefix in plans])).otherwise(F.array(*[F.lit(0.0) for _ in plans]))
     rows = rows.withColumn("__scores", scores)
     every = F.flatten("__places")
     base = F.array_compact(F.array(*[F.when(F.size(F.get("__places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())]))

@@ -147,6 +147,20 @@ def test_license_notice_in_long_text(spark):
     assert r["labels"] == "bsd" and r["base_labels"] == "" and 0.8 <= r["score"] < 1
 
 
+@pytest.mark.parametrize("label", ["mit", "bsd", "gpl"])
+def test_license_notice_at_every_place(spark, label):
+    """A passage of a notice's length with just 80 % of its words is found wherever it starts."""
+    words = license_scan.notice_words(license_scan.NOTICES[label])
+    distinct = list(dict.fromkeys(words))
+    once = [w for w in distinct if words.count(w) == 1]
+    ends = {words[0], words[-1]}
+    gone = [w for w in once if w not in ends][: len(distinct) - -(-len(distinct) * 8 // 10)]
+    passage = " ".join("other" if w in gone else w for w in words)
+    rows = [(i, "filler " * i + passage + " filler" * tail) for i in range(2 * len(words)) for tail in (0, 150)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string"), {"no such words": "none"}, {label: license_scan.NOTICES[label]}).collect()
+    assert len(got) == len(rows) and all(r["labels"] == label and r["score"] >= 0.8 for r in got)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 3, (230, 5)).round(1)
