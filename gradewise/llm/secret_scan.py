@@ -2,8 +2,9 @@
 
 Base patterns are searched over each whole text. Beside them, the lines that hold an assignment
 sign are lexed: ``name = literal``, ``name: literal``, ``"name": "literal"`` and the like become
-name-literal pairs. A value that is a bare name is looked up among the constants that the text has
-assigned so far, so that a literal is also judged by the names that it reaches. Literals are scored
+name-literal pairs, past type annotations, subscripts, string prefixes, parentheses and line breaks.
+A value that is a bare name is looked up among the constants that the text has assigned so far, else
+among all that it assigns later, so that a literal is also judged by the names that it reaches. Literals are scored
 by how sensitive their target names are and by how random they look; those above a threshold are
 added as spans of kind ``lexed``, unless they lie in a base span.
 
@@ -46,11 +47,19 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample",
 THRESHOLD = 0.5
 MIN_LITERAL = 8
 
+STRING = r"""(?:[rRbBuUfF]{1,2}|@|\$@?)?(?:"(?P<double%s>(?:[^"\\\n]|\\.)*)"|'(?P<single%s>(?:[^'\\\n]|\\.)*)')"""
+#: A name (also a subscript), perhaps a type (``name: type =``, ``name string =``), a sign, and a
+#: literal: a string with prefix and parentheses, one on a later line, or a bare value.
 PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.\-]{0,127})(?P=q)\s*(?::=|=>|=(?!=)|:(?!:))\s*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;(){}\[\]<>|]+))""",
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.\-]{0,127})(?P=q)(?:[^\S\n]*\])?"""
+    r"""(?:[^\S\n]*[?!]?:[^\S\n]*(?P<type>[A-Za-z_*&][\w.*&?<>,|\[\]\x20]{0,80}?)(?=[^\S\n]*=(?![=>]))|[^\S\n]+\*?(?:\[\](?:byte|rune)|string)(?=[^\S\n]*=(?!=)))?"""
+    r"""\s*(?::=|=>|=(?!=)|:(?!:))"""
+    r"""(?:[^\S\n(]*(?:\([^\S\n]*)*""" + STRING % ("", "") + r"""|(?:[\s(]|\\\r?\n){1,80}""" + STRING % ("_far", "_far") + r"""(?!\s*[:=])|[^\S\n]*(?P<bare>[^\s"',;(){}\[\]<>|]+))""",
     re.ASCII,
 )
+#: A line that ends so has its value on one of the next.
+GOES_ON = ("=", ":", "(", "\\", "=>")
+LINES_ON = 3
 IDENTIFIER = re.compile(r"[$]?\{?([A-Za-z_][\w.]*)\}?\Z", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -77,18 +86,42 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals of a text's assignments that score above the threshold."""
     found: dict[tuple[int, int], float] = {}
     constants: dict[str, tuple[str, int, int]] = {}
-    at = 0
-    for line in text.split("\n"):
+    pending: list[tuple[tuple[str, ...], str]] = []
+    first: dict[str, list[tuple[str, int, int]]] = {}
+
+    def judge(names: tuple[str, ...], value: str, start: int, end: int) -> None:
+        if (s := max(map(sensitivity, names))) and (score := s * randomness(value)) >= THRESHOLD:
+            found[start, end] = max(score, found.get((start, end), 0.0))
+
+    at, lines = 0, text.split("\n")
+    for i, line in enumerate(lines):
         if "=" in line or ":" in line:
-            for m in PAIR.finditer(line):
+            more = sum(len(x) + 1 for x in lines[i + 1 : i + 1 + LINES_ON]) if line.rstrip().endswith(GOES_ON) else 0
+            for m in PAIR.finditer(text, at, at + len(line) + more):
+                if m.start() > at + len(line):
+                    break
                 kind = m.lastgroup
-                value, start, end = m.group(kind), at + m.start(kind), at + m.end(kind)
-                if kind == "bare" and (name := IDENTIFIER.match(value)) and (known := constants.get(name[1])):
-                    value, start, end = known
-                constants[m["name"]] = value, start, end
-                if (s := sensitivity(m["name"])) and (score := s * randomness(value)) >= THRESHOLD:
-                    found[start, end] = max(score, found.get((start, end), 0.0))
+                value, start, end = m[kind], m.start(kind), m.end(kind)
+                names = (m["name"], *([m["type"]] if m["type"] else []))
+                if kind == "bare" and (name := IDENTIFIER.match(value)):
+                    if known := constants.get(name[1]):
+                        value, start, end = known
+                    else:
+                        pending.append((names, name[1]))
+                for name in names:
+                    constants[name] = value, start, end
+                    first.setdefault(name, []).append((value, start, end))
+                judge(names, value, start, end)
         at += len(line) + 1
+    # Names that were used before the text assigned them, also through other names.
+    for names, target in pending:
+        seen, todo = {target}, [target]
+        while todo:
+            for value, start, end in first.get(todo.pop(), ()):
+                judge(names, value, start, end)
+                if (name := IDENTIFIER.match(value)) and name[1] not in seen:
+                    seen.add(name[1])
+                    todo.append(name[1])
     return [(a, b, s) for (a, b), s in found.items()]
 
 

@@ -134,6 +134,20 @@ def test_secrets(docs):
     assert all((r["base_sha256"] == empty) == (t != SECRETS) for t, r in pairs(docs, secret_scan.scan(docs)))
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        'const dbPassword: string = "{}"', 'db_password: str = "{}"', 'var dbPassword string = "{}"', 'os.environ["API_KEY"] = "{}"', 'db_password = ("{}")', 'db_password = (\n    "{}"\n)', 'db_password = \\\n    "{}"',
+        'db_password:\n  "{}"', "db_password = b'{}'", 'db_password = f"{}"', 'db_password = K\nK = "{}"', 'db_password = A\nA = K\nK = "{}"', 'conf:\n  "db_password": "{}"', 'log: db_password = "{}"', 'String dbPassword = "{}";', 'db_password = "{}"',
+    ],
+)
+def test_secret_in_usual_source_forms(source):
+    secret = "zX9$kLmQ27vBn4Pw"
+    text = source.format(secret)
+    at = text.index(secret)
+    assert (at, 3, at + len(secret)) in secret_scan.spans(text.encode())[1] and secret not in secret_scan.redacted(text.encode())
+
+
 def test_license(docs):
     got = dict(pairs(docs, license_scan.scan(docs)))
     r = got[TEXTS[10]]
