@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 #: Most bytes of text that a per-text function is given at once (a longer single text comes alone).
 SLICE_BYTES = 4 << 20
-RAW = "__raw_text"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +26,43 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` has, in any case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def others(columns: Iterable[str], new: Iterable[str]) -> list[str]:
+    """The columns whose name no new column has, in any case."""
+    held = {n.lower() for n in new}
+    return [c for c in columns if c.lower() not in held]
+
+
+def carried(docs: DataFrame, *own: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, beside columns of an operator's own, so that
+    no name of a document's column can clash with one of the operator's."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), *own)
+
+
+def unpacked(rows: DataFrame, columns: Iterable[str]) -> list[Column]:
+    """The columns that ``carried`` took along."""
+    return [rows["row"].getField(c).alias(c) for c in columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materializes in the shared checkpoint folder and cuts the lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a
-    temporary one is set.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine
+    gets a temporary one; on a cluster no folder of one machine will do, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -66,13 +93,13 @@ def map_texts(
     """Appends columns computed from each whole text, in one narrow pass without a shuffle.
 
     ``make()`` runs once a task and returns a function from a list of UTF-8 texts to the lists
-    of the new columns (DDL ``new``); its attribute ``close``, if any, is called at the task's end. ``keep`` (all, if None) pass through; a kept column that
-    has the name of a new one gives way to it.
+    of the new columns (DDL ``new``); its attribute ``close``, if any, is called at the task's end.
+    ``keep`` (all, if None) pass through; a kept column that has the name of a new one, in any
+    case, gives way to it.
     """
-    spark = docs.sparkSession
-    added = T.StructType.fromDDL(new) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], new).schema
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
-    source = docs.select(*[quoted(c).alias(c) for c in keep], text_bytes(text).alias(RAW))
+    added = T.StructType.fromDDL(new)
+    keep = others(docs.columns if keep is None else keep, added.names)
+    source = docs.select(*[quoted(c).alias(c) for c in keep], text_bytes(text).alias(fresh("raw", keep)))
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -181,9 +181,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return map_texts(docs, make, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", keep, text)
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The documents with every span in the text replaced by a mark, in a column ``redacted``."""
-    return map_texts(docs, lambda: lambda texts: [[redacted(t, mark) for t in texts]], "redacted string", None, text)
+    return map_texts(docs, lambda: lambda texts: [[redacted(t, mark) for t in texts]], "redacted string", keep, text)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm.common import cut, map_arrow, map_texts, quoted, table
+from gradewise.llm.common import carried, cut, map_arrow, map_texts, quoted, table, unpacked
 
 WORDS = 3
 SEED = 42
@@ -41,6 +41,8 @@ DISTANCE = 2
 SEGMENTS = (22, 21, 21)
 #: Up to so many members of a key are compared pair by pair.
 PAIRWISE = 48
+#: Most ids of dropped documents that are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -149,30 +151,25 @@ def links(fps: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
 
     Large stars and small stars by turns: each node links its larger (then its smaller) neighbours
-    to the smallest one, until nothing changes. Edges never grow in number.
+    to the smallest one, until nothing changes, which a number of rounds in the order of the square
+    of the logarithm of the nodes brings about. Edges never grow in number. A node with very many
+    neighbours is one key of the join on ``u``, whose other side has one row for it, so that
+    adaptive execution splits it.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    n, before = now.count(), None
-    for _ in range(rounds):
-        if not n:
-            break
+    seen, before = now.count(), None
+    while seen and seen != before:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large)
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        now = cut(star)
+        now, before = cut(star), seen
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -192,25 +189,31 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, text: str = "text"
     """The rows of ``docs`` that stay: of each component the one with the smallest id (null ids
     come after all others; of rows that share id and fingerprint, any one)."""
     rows = cut(with_fingerprint(docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")), words, keep=["id"]))
-    return one_of_each(docs, rows, lambda d, name: with_fingerprint(d, words, name, text), None, id_col)
+    return one_of_each(docs, rows, lambda d: with_fingerprint(d, words, text="body", keep=["row", "id"]), None, id_col, text)
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame, mark: Callable[[DataFrame, str], DataFrame], edges: DataFrame | None, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that stay, by the id and fp of ``rows`` and the links between fps;
-    ``mark`` adds the fp to documents in a column of a given name."""
+def one_of_each(docs: DataFrame, rows: DataFrame, mark: Callable[[DataFrame], DataFrame], edges: DataFrame | None, id_col: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, by the id and fp of ``rows`` and the links between fps. Only
+    the ids that go are sent to the documents, broadcast where they are few; where ids are repeated,
+    ``mark`` adds fp to (row, id, body) to tell rows apart."""
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("r"))
     chosen = least.join(near_duplicates(rows, "id", edges=edges), "fp").groupBy("root").agg(F.min(F.struct("r", "fp")).alias("c"))
-    chosen = cut(chosen.select(F.col("c.r.id").alias("__id"), F.col("c.fp").alias("__of")))
-    own = quoted(id_col).eqNullSafe(F.col("__id"))
+    chosen = cut(chosen.select(F.col("c.fp").alias("fp"), F.col("c.r.id").alias("id")))
+    carry = carried(docs, quoted(id_col).alias("id"), quoted(text).alias("body"))
     if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs.join(chosen, own, "left_semi")
+        kept, gone = chosen.select(F.col("id").alias("other")), rows.select("id")
+        gone = cut(gone.join(kept, F.col("id").eqNullSafe(F.col("other")), "left_anti").select(F.col("id").alias("other")))
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+        left = carry.select("row", "id").join(gone, F.col("id").eqNullSafe(F.col("other")), "left_anti")
+        return left.select(*unpacked(left, docs.columns))
     # Rows that share an id are told apart by fingerprint, and of those that share both one stays.
-    marked = mark(docs, "__fp")
-    here = own & (F.col("__fp") == F.col("__of"))
-    repeated = rows.groupBy(F.col("id").alias("__id"), F.col("fp").alias("__of")).agg(F.count("*").alias("n")).where("n > 1")
-    kept = marked.join(chosen, here, "left_semi")
-    once = kept.join(repeated, here, "left_anti")
-    return once.unionByName(kept.join(repeated, here, "left_semi").dropDuplicates([id_col, "__fp"])).select(*map(quoted, docs.columns))
+    marked = mark(carry)
+    same = F.col("id").eqNullSafe(F.col("other")) & (F.col("fp") == F.col("of"))
+    kept = marked.join(chosen.select(F.col("id").alias("other"), F.col("fp").alias("of")), same, "left_semi")
+    repeated = F.broadcast(cut(rows.groupBy("id", "fp").agg(F.count("*").alias("n")).where("n > 1").join(chosen, ["fp"], "left_semi").select(F.col("id").alias("other"), F.col("fp").alias("of"))))
+    once = kept.join(repeated, same, "left_anti")
+    out = once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["id", "fp"]))
+    return out.select(*unpacked(out, docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

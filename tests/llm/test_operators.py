@@ -271,3 +271,45 @@ def test_empty_tables(spark):
     outs.append(top_k.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0))
     outs.append(warc.resolve(warc.crawl_of(spark.createDataFrame([], "page_id bigint, url string, html string"))))
     assert [o.count() for o in outs] == [0] * len(outs)
+
+
+def test_host_rules_against_plain_form(spark):
+    """One host fails one rule that the document's own verdict leaves alone; small hosts are shrunk;
+    a null host and a host of an odd name are two."""
+    rnd = random.Random(6)
+    text = lambda bad: " ".join(f"word{rnd.randrange(10**6)}" for _ in range(60)) + (" ####" * 5 if bad else "")
+    hosts = [(f"h{i}", 40, 3) for i in range(12)] + [("junk", 40, 38), (None, 40, 2), ("\0null", 40, 39), ("tiny", 1, 1)]
+    rows = [(h, text(i < bad), "kept", "mark") for h, n, bad in hosts for i in range(n)]
+    df = spark.createDataFrame(rows, "Source string, text string, `Kept` string, `rejected` string").repartition(3)
+    measured = quality.measure(df)
+    rates = {r["host"]: r for r in quality.host_rates(measured).where("rule = 'symbols'").collect()}
+    ns, ks = np.array([n for _, n, _ in hosts]), np.array([b for _, _, b in hosts])
+    m, v = ks.sum() / ns.sum(), np.var(ks / ns, ddof=1)
+    v -= m * (1 - m) * (1 / ns).mean()
+    s = min(1e4, max(1, m * (1 - m) / v - 1))
+    limit = max(0.3, min(0.8, m + 3 * (m * (1 - m) / (s + 1)) ** 0.5))
+    for h, n, bad in hosts:
+        assert abs(rates[h]["shrunk_rate"] - (bad + m * s) / (n + s)) < 1e-9 and abs(rates[h]["most"] - limit) < 1e-9
+    want = {h for h, n, bad in hosts if (bad + m * s) / (n + s) > limit}
+    assert want == {"junk", "\0null"}
+    got = quality.with_verdict(measured, quality.rejected_hosts(measured))
+    assert [c.lower() for c in got.columns].count("kept") == 1
+    assert {r["Source"] for r in got.where("NOT kept").collect()} == want and got.where("kept").count() == len(rows) - 80
+    assert got.where("base_failed").count() == 0
+
+
+INNER = ["host", "bad", "kept", "fp", "__fp", "__id", "__of", "row", "body", "raw", "id", "other", "of", "owner", "rejected", "N_Words", "words", "hits", "redacted", "a.b", "Labels", "key", "slice"]
+
+
+def test_pipeline_with_columns_named_like_its_own(spark):
+    import corpus_pipeline
+
+    rows = [(i if i else None, " ".join(f"w{(i * 37 + j * 11) % 997}" for j in range(80)) + "\nfooter", "s", *[f"{c}{i}" for c in INNER]) for i in range(14)]
+    rows.append((3, rows[3][1] + " x", "s", *["again"] * len(INNER)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{c}` string" for c in INNER))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "source", *INNER]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = docs.collect()
+    assert len(got) == 14 and all(r[c] == f"{c}{r['doc_id'] or 0}" for r in got if r["doc_id"] != 3 for c in INNER)
