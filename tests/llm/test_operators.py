@@ -313,3 +313,73 @@ def test_pipeline_with_columns_named_like_its_own(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     got = docs.collect()
     assert len(got) == 14 and all(r[c] == f"{c}{r['doc_id'] or 0}" for r in got if r["doc_id"] != 3 for c in INNER)
+
+
+def test_license_blocks_against_every_window(spark):
+    """Each label by all windows of all texts; a notice in a long text, twice, cut, and in other words."""
+    rnd = random.Random(9)
+    notices = {"one": "alpha beta gamma delta epsilon beta zeta eta theta iota kappa", "two/a": "red green blue red white black", "two/b": "north south east west up down left right"}
+    pool = sorted({w for t in notices.values() for w in t.split()}) + ["x", "y", "z"]
+    texts = []
+    for _ in range(150):
+        w = rnd.choices(pool, k=rnd.randrange(30))
+        part = rnd.choice(list(notices.values())).split()
+        for i in rnd.sample(range(len(part)), rnd.randrange(4)):
+            part[i] = "x"
+        texts.append(" ".join([*w, *part, *rnd.choices(pool, k=rnd.randrange(12))]))
+    texts += ["x " * 40000 + notices["one"] + " y" * 1000 + notices["one"], (notices["two/b"] + " ") * 3000, None, ""]
+    frame = spark.createDataFrame([(i, t, 1, "a") for i, t in enumerate(texts)], "doc_id int, text string, `N_Words` int, `words` string").repartition(3)
+    got = license_scan.scan(frame, {"no such": "none"}, notices)
+    assert got.columns == ["doc_id", "text", "words", *license_scan.NEW]
+    shares = lambda w, t: max(len(set(w[i : i + len(t)]) & set(t)) for i in range(max(1, len(w) - len(t) + 1))) / len(set(t))
+    for r in got.collect():
+        words = license_scan.notice_words(r["text"] or "")
+        met = {k: x for k, t in notices.items() if (x := shares(words[-20000:], t.split())) * len(set(t.split())) >= np.ceil(0.8 * len(set(t.split())) - 1e-9)}
+        assert r["labels"] == ",".join(sorted({k.split("/")[0] for k in met})) and abs(r["score"] - max(met.values(), default=0)) < 1e-9, r["doc_id"]
+
+
+def test_license_notice_after_other_words(spark):
+    words = license_scan.notice_words(license_scan.NOTICES["mit"])
+    once = [w for w in words if words.count(w) == 1][1:6]
+    passage = " ".join("other" if w in once else w for w in words)
+    rows = [(i, "filler " * i + passage) for i in (0, 13, 32, 47)]
+    assert {r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()} == {"mit"}
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "client_secret: |\n  {}\nother: 1", "<password>{}</password>", '<add key="dbPassword" value="{}"/>', 'db_password = """{}"""', '{{"auth": {{"value": "{}"}}}}', "auth:\n  value: {}\n", "password_" + "n" * 300 + ' = "{}"',
+        'export K="{}"\nexport DB_PASSWORD=$K', 'K = "{}"\ndb_password = f"{{K}}"', 'setPassword("{}")', 'db_password = os.getenv("DB_PASSWORD", "{}")', 'tokens = ["{}"]', "secret=<<EOF\n{}\nEOF\n", 'Authorization: "Bearer {}"', 'def f():\n    K = "{}"\n    db_password = K\n',
+    ],
+)
+def test_secret_in_other_forms(source):
+    secret = "zX9$kLmQ27vBn4Pw"
+    text = source.format(secret)
+    assert secret not in secret_scan.redacted(text.encode())
+
+
+def test_secret_lexer_joins_scopes_and_long_texts():
+    joined = 'db_password = "aB3dE5gH" + "7jK9lM1n"'
+    at = joined.index("aB3")
+    assert (at, 3, len(joined) - 1) in secret_scan.spans(joined.encode())[1] and "7jK9" not in secret_scan.redacted(joined.encode())
+    other = 'def f():\n    K = "zX9$kLmQ27vBn4Pw"\ndef g():\n    db_secret_pw = K\n'
+    assert secret_scan.spans(other.encode())[1] == []  # a constant of another scope
+    for text in ("a = b = ", '"token": {', "secret = (", 'token = "x" + ', "token=A\nA=token\n", "key: |\n a\n"):
+        secret_scan.spans((text * 20000).encode())
+
+
+def test_top_k_of_huge_products(spark):
+    """Products beyond 64 bits are ranked as they are."""
+    rng = np.random.default_rng(7)
+    v = np.vstack([rng.normal(0, 1, (40, 3)) * 10.0 ** rng.integers(0, 17, (40, 1)), [[1e15, 2e15, 3e15], [3e15, 1e15, -1e15], [1e300, -1e300, 1e-5]]])
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0, k=5).collect()
+    from fractions import Fraction
+
+    e = [[int(Fraction(float(x)) * 1024 // 1) for x in row] for row in v]
+    want = []
+    for q in range(0, len(v), 10):
+        ranked = sorted((-sum(a * b for a, b in zip(e[q], e[c], strict=True)), c) for c in range(len(v)) if c != q)[:5]
+        want += [(q, i + 1, c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for i, (s, c) in enumerate(ranked)]
+    assert sorted(map(tuple, got)) == want
