@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Most bytes of text that a per-text function is given at once (a longer single text comes alone).
 SLICE_BYTES = 4 << 20
+#: Rows of a partition, and fewest partitions, where ``cut`` is told how many rows come.
+PART_ROWS, FEWEST = 100_000, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +53,10 @@ def unpacked(rows: DataFrame, columns: Iterable[str]) -> list[Column]:
     return [rows["row"].getField(c).alias(c) for c in columns]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materializes in the shared checkpoint folder and cuts the lineage.
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materializes in the shared checkpoint folder and cuts the lineage; where at most so many rows are
+    known to come, in no more partitions than these need, as rounds over little data cost a task and
+    a file for each.
 
     The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine
     gets a temporary one; on a cluster no folder of one machine will do, so there it is an error.
@@ -63,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(FEWEST, rows // PART_ROWS))).checkpoint()
 
 
 def text_bytes(name: str) -> Column:
