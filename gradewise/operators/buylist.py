@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def new_posts(posts: DataFrame) -> DataFrame:
+    """Each post once, and of posts that share an image only the first: (post_id, posted_at, image_hash)."""
+    once = posts.groupBy("post_id").agg(F.min_by(F.struct(*[c for c in posts.columns if c != "post_id"]), F.struct("posted_at", "image_hash")).alias("p")).select("post_id", "p.*")
+    image = Window.partitionBy("image_hash").orderBy("posted_at", "post_id")
+    return once.withColumn("n", F.row_number().over(image)).where("n = 1 OR image_hash IS NULL").drop("n")
+
+
 def dedupe(listings: DataFrame) -> DataFrame:
     """One listing for each shop, card, price and day: the first one."""
     return listings.groupBy("shop", "card", "price", F.to_date("posted_at").alias("day")).agg(F.min_by("listing_id", F.struct("posted_at", "listing_id")).alias("listing_id"), F.count("*").alias("n_posts"))
@@ -23,14 +30,33 @@ def window(listings: DataFrame, days: int | None, now: str) -> DataFrame:
 
 
 def against_mean(listings: DataFrame, cheap: float = -10.0, dear: float = 10.0, many: int = 10) -> DataFrame:
-    """Each shop's mean price of a card against the mean of all shops, with labels."""
+    """Each shop's mean price of a card against the mean of all shops, with the difference, the least,
+    largest and median price of all shops, and labels."""
     by_shop = listings.groupBy("card", "shop").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
-    w = Window.partitionBy("card")
-    out = by_shop.select("card", "shop", "n", (F.col("cents") / F.col("n") / 100).alias("avg"), (F.sum("cents").over(w) / F.sum("n").over(w) / 100).alias("avg_all"))
-    out = out.withColumn("pct", (F.col("avg") - F.col("avg_all")) / F.col("avg_all") * 100)
+    of_all = listings.groupBy("card").agg(F.sum("cents").alias("all_cents"), F.count("*").alias("n_all"), F.min("price").alias("price_min"), F.max("price").alias("price_max"), F.percentile("price", F.lit(0.5)).alias("price_median"))
+    out = by_shop.join(of_all, "card").select("card", "shop", "n", (F.col("cents") / F.col("n") / 100).alias("avg"), (F.col("all_cents") / F.col("n_all") / 100).alias("avg_all"), "price_min", "price_max", "price_median")
+    out = out.withColumn("difference", F.col("avg") - F.col("avg_all")).withColumn("pct", F.col("difference") / F.col("avg_all") * 100)
     return out.withColumn("price_label", F.when(F.col("pct") <= cheap, "cheap").when(F.col("pct") >= dear, "expensive").otherwise("average")).withColumn("count_label", F.when(F.col("n") >= many, "many").otherwise("few"))
 
 
+def board(listings: DataFrame, now: str, shop: str | None = None, least7: int = 0, least30: int = 0, prices: tuple[float, float] | None = None, label: str | None = None, confidence: float | None = None) -> DataFrame:
+    """Counts of the last 7 and 30 days and all days by shop and card, with the comparison of
+    ``against_mean``, filtered by shop, counts, mean price, label, and confidence of the listings."""
+    held = listings if confidence is None else listings.where(F.col("confidence") >= confidence)
+    since = lambda d: F.count_if(F.col("posted_at") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {d} DAYS"))
+    counts = held.groupBy("card", "shop").agg(since(7).alias("n7"), since(30).alias("n30"), F.max("posted_at").alias("last_seen"))
+    out = against_mean(held).join(counts, ["card", "shop"]).where((F.col("n7") >= least7) & (F.col("n30") >= least30))
+    out = out if shop is None else out.where(F.col("shop") == shop)
+    out = out if prices is None else out.where(F.col("avg").between(*prices))
+    return out if label is None else out.where(F.col("price_label") == label)
+
+
+def trend(listings: DataFrame, card) -> DataFrame:
+    """One card's daily mean by shop, with the change since the shop's day before."""
+    days = daily(listings.where(F.col("card") == card))
+    return days.withColumn("change", F.col("price_avg") - F.lag("price_avg").over(Window.partitionBy("shop").orderBy("day"))).orderBy("shop", "day")
+
+
 def price_changes(listings: DataFrame) -> DataFrame:
     """Listings whose price differs from the one before of the same shop and card on that day."""
     w = Window.partitionBy("shop", "card", F.to_date("posted_at")).orderBy("posted_at", "listing_id")

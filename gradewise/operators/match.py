@@ -1,4 +1,4 @@
-"""Cards to shop products: blocked scoring, all-keys matching, catalog merges and link upkeep."""
+"""Cards to shop products: catalog entries, blocked scoring, all-keys matching, catalog merges and link upkeep."""
 
 from __future__ import annotations
 
@@ -7,61 +7,123 @@ from pyspark.sql import functions as F
 
 from gradewise.functions import text
 
-THRESHOLD = 11
+# What marks a graded item, the points of a score, and the least score of a match.
 GRADED = r"(?i)(?:PSA|ARS|CGC|BGS|ACE)\s*10|鑑定済"
-#: Most catalog rows that the all-keys match broadcasts.
-BROADCAST_ROWS = 50_000
+NAME_POINTS, BASE_POINTS, NUMBER_POINTS, SET_POINTS, RARITY_POINTS = 10, 6, 10, 4, 2
+KEY_POINTS, KEY_LENGTH = 2.0, 8
+THRESHOLD = 11
+#: Longest piece of a key by which texts and keys meet.
+GRAM = 3
+
+
+def sold_as_new(state: Column) -> Column:
+    return F.upper(F.coalesce(F.nullif(state, F.lit("")), F.lit("A"))) == "A"
 
 
 def matchable(state: Column, name: Column) -> Column:
-    return (F.upper(F.coalesce(state, F.lit("A"))) == "A") & ~name.rlike(GRADED)
+    return sold_as_new(state) & ~text.given(name).rlike(GRADED)
+
+
+def catalog_entries(listed: DataFrame, today: str) -> DataFrame:
+    """Catalog rows (id, name, url, state, stock, observed_at, keys, pos) of listed products (id, title,
+    url, state, model, stock, pos): the name is the title without its state, with the model in brackets; the keys are the name, its parts and
+    two joins of them, each once."""
+    full = text.collapse(F.concat(text.strip_state(F.col("title")), F.when(text.given(F.col("model")) != "", F.concat(F.lit(" ["), F.col("model"), F.lit("]"))).otherwise("")))
+    out = listed.select("id", full.alias("name"), "url", F.coalesce(F.nullif("state", F.lit("")), F.lit("A")).alias("state"), "stock", F.lit(today).cast("date").alias("observed_at"), "pos")
+    joined = [F.col("name"), *[part(k) for k in ("base", "card_no", "set_code", "rarity")], F.concat(*[part(k) for k in ("base", "rarity", "card_no", "set_code")]), F.concat(*[part(k) for k in ("base", "card_no", "set_code")])]
+    keys = F.array_distinct(F.filter(F.array(*map(text.loose, joined)), lambda k: k != ""))
+    return with_parts(out).select(*out.columns, keys.alias("keys"))
+
+
+def part(name: str) -> Column:
+    """A part of a title that ``with_parts`` added."""
+    return F.col("part")[name]
+
+
+def with_parts(titles: DataFrame, name: str = "name", model: str | None = None, exact: str | None = None) -> DataFrame:
+    """Adds the components of a title as a struct ``part``, and its display name ``display``."""
+    some = lambda c: None if c is None else F.col(c)
+    return titles.withColumn("part", text.components(F.col(name), some(model), some(exact))).withColumn("display", text.once(F.col("part"), text.named))
 
 
 def _alike(a: Column, b: Column) -> Column:
-    return ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))).eqNullSafe(True)
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def blocked_match(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(left_id, right_id, score): each left row's best right row.
+def blocked_match(cards: DataFrame, catalog: DataFrame, invalid: DataFrame | None = None, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, url, score): each card's best catalog entry.
 
-    Both sides have id, number, set_code, rarity, base, name, finish, keys (right) and pos (right).
-    If any right row has the same number and set code, only those are candidates; else those of the
-    same number. The two are separate equi-joins. Of equal scores the first right row wins.
+    ``cards`` has id, name, model and rarity, ``catalog`` url, name, state, keys and pos. If any entry
+    has the card's number and set code, only those are candidates; else those of the same number; a
+    card without a number has none. The two are separate equi-joins. Graded items, other states and
+    ``invalid`` URLs are left out only afterwards, so they keep a block from falling back. Of equal
+    scores the first entry wins.
+
+    Titles that stand for many cards or entries are compared once, and the best of a title is one
+    value, kept by partial aggregation. A number that very many titles share is one key of the
+    second join, which adaptive execution splits.
     """
-    blocks = right.select("number", "set_code").distinct().withColumn("exact", F.lit(True))
-    marked = left.join(blocks, ["number", "set_code"], "left")
-    other = right.where(matchable(F.col("state"), F.col("name"))).select(*[F.col(c).alias(f"r_{c}") for c in ("id", "number", "set_code", "rarity", "base", "name", "finish", "keys", "pos")])
-    same_number = F.col("number") == F.col("r_number")
-    exact = marked.where("exact").join(other, same_number & (F.col("set_code") == F.col("r_set_code")))
-    loose = marked.where("exact IS NULL").join(other, same_number)
-    pairs = exact.unionByName(loose).where(F.coalesce("finish", F.lit("")) == F.coalesce("r_finish", F.lit("")))
+    keyed = lambda name: {"name": name, "base": part("base"), "number": part("card_no"), "code": part("set_code"), "rare": part("rarity")}
+    titles = with_parts(cards.select("name", "model", "rarity").distinct(), "name", "model", "rarity")
+    left = titles.select(F.struct("name", "model", "rarity").alias("title"), *[text.loose(c).alias(f"l_{k}") for k, c in keyed(F.col("display")).items()], part("finish").alias("l_finish")).where("l_number <> ''")
+    entries = with_parts(catalog.select("url", "name", "state", "pos", "keys")).withColumnRenamed("name", "shown")
+    entries = entries.select("url", "state", "pos", "shown", F.transform("keys", text.loose).alias("keys"), part("finish").alias("finish"), *[text.loose(c).alias(k) for k, c in keyed(F.col("shown")).items()]).where("number <> ''")
+    blocks = entries.where("code <> ''").select(F.col("number").alias("l_number"), F.col("code").alias("l_code")).distinct().withColumn("exact", F.lit(True))
+    left = left.join(blocks, ["l_number", "l_code"], "left")
+    usable = entries.where(matchable(F.col("state"), F.col("shown")))
+    if invalid is not None:
+        usable = usable.join(invalid.select("url").distinct(), "url", "left_anti")
+    same = ["number", "code", "name", "base", "rare", "finish", "keys"]
+    usable = usable.groupBy(*same).agg(F.min(F.struct("pos", "url")).alias("first"))
+    number = F.col("l_number") == F.col("number")
+    pairs = left.where("exact").join(usable, number & (F.col("l_code") == F.col("code"))).unionByName(left.where("exact IS NULL").join(usable, number)).where("l_finish = finish")
     points = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
-    keys = F.aggregate(F.filter("r_keys", lambda k: (k != "") & F.contains(F.col("name"), k)), F.lit(0.0), lambda s, k: s + F.least(F.lit(2.0), F.length(k) / 8))
+    keys = F.aggregate(F.filter("keys", lambda k: (k != "") & F.contains(F.col("l_name"), k)), F.lit(0.0), lambda s, k: s + F.least(F.lit(KEY_POINTS), F.length(k) / KEY_LENGTH))
     score = (
-        points(_alike(F.col("name"), F.col("r_name")), 10)
-        + points(_alike(F.col("base"), F.col("r_base")), 6)
-        + points(F.lit(True), 10)
-        + points(F.col("set_code") == F.col("r_set_code"), 4)
-        + points(F.col("rarity") == F.col("r_rarity"), 2)
+        points(_alike(F.col("l_name"), F.col("name")), NAME_POINTS)
+        + points(_alike(F.col("l_base"), F.col("base")), BASE_POINTS)
+        + float(NUMBER_POINTS)
+        + points((F.col("l_code") != "") & (F.col("l_code") == F.col("code")), SET_POINTS)
+        + points((F.col("l_rare") != "") & (F.col("l_rare") == F.col("rare")), RARITY_POINTS)
         + F.coalesce(keys, F.lit(0.0))
     )
     best = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-    # The best of a row is one value, kept by partial aggregation, rather than a sort of all pairs.
-    top = best.groupBy("id").agg(F.max_by(F.struct("r_id", "score"), F.struct("score", -F.col("r_pos"))).alias("b"))
-    return top.select(F.col("id").alias("left_id"), F.col("b.r_id").alias("right_id"), F.col("b.score").alias("score"))
+    top = best.groupBy("title").agg(F.max_by(F.struct("first.url", "score"), F.struct("score", -F.col("first.pos"))).alias("b"))
+    held = F.struct("name", "model", "rarity")
+    return cards.select("id", held.alias("title")).join(top.withColumnRenamed("title", "of"), F.col("title").eqNullSafe(F.col("of"))).select("id", "b.url", "b.score")
+
+
+def grams(c: Column) -> Column:
+    """The distinct pieces of a text of up to GRAM letters, and the empty one."""
+
+    def pieces(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(c) - n + 1)
+        return F.when(F.length(c) >= n, F.transform(places, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, GRAM + 1)]))
 
 
 def all_keys_match(cards: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, url): the first catalog row whose every key stands in the card's text, with equal finish.
+    """(id, url): the first catalog entry of state A whose every key stands in the card's text, with
+    equal finish. ``cards`` has id, name, model, variant, rarity and query.
 
-    The rows are joined on one key word first where the catalog is too large to be broadcast.
+    Cards and entries meet on a piece of the entry's longest key (GRAM letters where it is so long),
+    of these the one that stands in the fewest cards; then every key is tested. Entries of equal
+    keys and finish count once. Pieces that very many cards have are split by adaptive execution.
     """
-    hay = cards.select("id", text.loose(F.concat_ws(" ", "name", "model")).alias("hay"), text.finish_kind(F.col("name")).alias("finish"))
-    entries = catalog.where(matchable(F.col("state"), F.col("name")) & (F.size("keys") > 0)).select("url", F.transform("keys", text.loose).alias("keys"), text.finish_kind(F.col("name")).alias("c_finish"), F.col("pos"))
-    if entries.count() > BROADCAST_ROWS:
-        raise ValueError("the catalog is too large for containment tests: use blocked_match")
+    parts = [F.nullif(text.given(F.col(c)), F.lit("")) for c in ("name", "model", "variant", "rarity", "query")]
+    hay = cards.select("id", text.loose(F.concat_ws(" ", *parts)).alias("hay"), text.finish_kind(F.col("name")).alias("finish"))
+    entries = catalog.where(sold_as_new(F.col("state")) & (F.size("keys") > 0)).select(F.array_sort(F.array_distinct(F.transform("keys", text.loose))).alias("keys"), text.finish_kind(F.col("name")).alias("c_finish"), F.struct("pos", "url").alias("at"))
+    entries = entries.groupBy("keys", "c_finish").agg(F.min("at").alias("first"))
+    longest = F.array_max(F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    entries = entries.withColumn("longest", longest)
+    width = F.least(F.length("longest"), F.lit(GRAM))
+    pieces = entries.select("keys", "c_finish", "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longest") - width + 1), lambda i: F.substring(F.col("longest"), i, width)))).alias("gram"))
+    spread = hay.select("id", "hay", "finish", F.explode(grams(F.col("hay"))).alias("gram"))
+    common = spread.groupBy("gram").agg(F.count("*").alias("n"))
+    anchors = pieces.join(common, "gram", "left").groupBy("keys", "c_finish").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"), F.first("first").alias("first")).select("keys", "c_finish", "first", "a.gram")
     held = F.forall("keys", lambda k: F.contains(F.col("hay"), k)) & (F.col("finish") == F.col("c_finish"))
-    return hay.join(F.broadcast(entries), held).groupBy("id").agg(F.min_by("url", "pos").alias("url"))
+    return spread.join(anchors, "gram").where(held).groupBy("id").agg(F.min("first").alias("first")).select("id", "first.url")
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:
@@ -93,21 +155,65 @@ def carry_forward(cards: DataFrame, previous: DataFrame, columns: list[str]) ->
     return cards.join(last, "id", "left")
 
 
-def unmatched_queue(cards: DataFrame, matched: DataFrame, attempted: DataFrame, recheck: DataFrame, batch: int = 40) -> DataFrame:
-    """The next target queries: unmatched cards not tried yet or marked for recheck, forced ones
-    first, then promos, in source order, each query once. A batch of 0 or less is all."""
-    out = cards.join(matched.select("id"), "id", "left_anti").where("query <> ''")
-    out = out.join(attempted.select(F.col("query")).distinct().withColumn("tried", F.lit(True)), "query", "left").join(recheck.select("id").distinct().withColumn("forced", F.lit(True)), "id", "left")
-    out = out.where("tried IS NULL OR forced").groupBy("query").agg(F.min(F.struct("pos", "id", "promo", F.coalesce("forced", F.lit(False)).alias("forced"))).alias("c")).select("query", "c.*")
-    out = out.orderBy(F.desc("forced"), F.desc("promo"), "pos")
+def wanted(cards: DataFrame) -> DataFrame:
+    """The modern and promo cards of (id, name, model, rarity, pos), with their set code, whether they
+    are promos, and their target query and its key."""
+    out = with_parts(cards, "name", "model", "rarity").withColumn("promo", text.is_promo(F.col("name"), part("set_code")))
+    out = out.withColumn("query", text.target_query(part("card_no"), part("set_code"))).withColumn("modern", text.is_modern(text.set_code_of_card(F.col("name"), F.col("model"))))
+    return out.where("modern OR promo").select(*cards.columns, F.upper(part("set_code")).alias("code"), "promo", "query", text.loose(F.col("query")).alias("key"))
+
+
+def unmatched_queue(wanted_cards: DataFrame, matched: DataFrame, attempted: DataFrame, recheck: DataFrame, batch: int = 40) -> DataFrame:
+    """The next target queries of ``wanted`` cards: those unmatched, not tried yet (by key) or marked for
+    recheck, forced ones first, then promos, in source order, each key once. A batch of 0 or less is all."""
+    out = wanted_cards.where("key <> ''").join(matched.select("id").distinct(), "id", "left_anti")
+    out = out.join(attempted.select("key").distinct().withColumn("tried", F.lit(True)), "key", "left").join(recheck.select("id").distinct().withColumn("forced", F.lit(True)), "id", "left")
+    first = F.min(F.struct("pos", "id", "query", "promo", F.coalesce("forced", F.lit(False)).alias("forced")))
+    out = out.where("tried IS NULL OR forced").groupBy("key").agg(first.alias("c")).select("key", "c.*").orderBy(F.desc("forced"), F.desc("promo"), "pos")
     return out.limit(batch) if batch > 0 else out
 
 
+def attempted_after(attempted: DataFrame, queue: DataFrame) -> DataFrame:
+    """The keys tried so far and those of a queue, whether they found anything or not."""
+    return attempted.select("key").union(queue.select("key")).distinct()
+
+
 def seeds(cards: DataFrame, completed: DataFrame, top: int = 0) -> DataFrame:
-    """Set codes to crawl: (code, n, promo), promos first, then the most cards; completed ones not."""
-    out = cards.where("code <> ''").groupBy("code").agg(F.count("*").alias("n")).withColumn("promo", F.col("code").rlike(r"-P\z"))
-    out = out.join(completed.select("code").distinct(), "code", "left_anti").orderBy(F.desc("promo"), F.desc("n"), "code")
-    return out.limit(top) if top > 0 else out
+    """Set codes to crawl: (code, n, promo) of ``wanted`` cards, promos first, then the most cards; of the
+    first ``top`` (all, if 0) those not completed."""
+    out = cards.where("code <> ''").groupBy("code").agg(F.count("*").alias("n")).withColumn("promo", F.col("code").rlike(r"(?i)-P\z"))
+    order = [F.desc("promo"), F.desc("n"), F.col("code").asc()]
+    out = out.orderBy(*order).limit(top) if top > 0 else out
+    return out.join(completed.select("code").distinct(), "code", "left_anti").orderBy(*order)
+
+
+def fresh_items(items: DataFrame, seen: DataFrame) -> DataFrame:
+    """The items of a page whose URL has not been seen, each URL once (the first)."""
+    return items.join(seen.select("url").distinct(), "url", "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).where("n = 1").drop("n")
+
+
+def upsert(rows: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` taken from ``new`` (at most one row a key) where it has the key."""
+    found = new.select(F.col(key).alias("new_key"), F.struct(*columns).alias("new_values"))
+    out = rows.join(found, F.col(key) == F.col("new_key"), "left")
+    values = {c: F.when(F.col("new_values").isNotNull(), F.col(f"new_values.{c}")).otherwise(F.col(c)) for c in columns}
+    return out.select(*[values[c].alias(c) if c in values else c for c in rows.columns])
+
+
+def relink(cards: DataFrame, links: DataFrame, legacy: tuple[str, ...] = ("searchUrl", "queryName", "state", "shopName")) -> DataFrame:
+    """Cards with the link of ``links`` (id, url) as ``url``, null where there is none, and without the
+    columns of earlier versions."""
+    return cards.drop("url", *legacy).join(links.select("id", "url"), "id", "left")
+
+
+def remaining_rechecks(recheck: DataFrame, links: DataFrame) -> DataFrame:
+    """Cards to recheck that have no link yet."""
+    return recheck.select("id").distinct().join(links.where("url IS NOT NULL AND url <> ''").select("id"), "id", "left_anti")
+
+
+def link_counts(cards: DataFrame, direct: Column) -> DataFrame:
+    """How many cards there are, have a shop link ``url``, and have a direct market link."""
+    return cards.agg(F.count("*").alias("n"), F.count_if(text.given(F.col("url")) != "").alias("matched"), F.count_if(direct).alias("direct"))
 
 
 def coverage(cards: DataFrame) -> DataFrame:
@@ -118,15 +224,23 @@ def coverage(cards: DataFrame) -> DataFrame:
 
 
 def grading_aliases(population: DataFrame) -> DataFrame:
-    """(key, row): each population row under its own query and, below it, under its aliases; the
-    last row of a key wins."""
-    names = population.withColumn("key", F.explode(text.grading_candidates(F.col("query"))))
-    return names.groupBy("key").agg(F.max_by(F.struct("rate", "total", "count"), F.struct(F.col("key") == F.col("query"), "pos")).alias("row"))
+    """(key, row): population rows (query, rate, total, count, card_no, source_set, pos) under the short
+    codes of their query's set and of their label; the last row of a key wins."""
+    form = rf"(?i)^{text.LANGUAGE}\s+(.+?)\s+([0-9]+)\z"
+    known = text.given(F.col("query")).rlike(form)
+    number = F.when(known, F.regexp_extract("query", form, 2)).otherwise(text.tidy(text.given(F.col("card_no"))))
+    codes = F.array(F.when(known, text.short_code(F.regexp_extract("query", form, 1))), text.short_code(F.nullif(text.set_of_label(F.col("source_set")), F.lit(""))))
+    names = population.select("rate", "total", "count", "pos", number.alias("number"), F.posexplode(codes).alias("at", "code")).where("code <> '' AND number <> ''")
+    key = F.concat_ws(" ", F.lit(text.LANGUAGE), "code", "number")
+    return names.groupBy(key.alias("key")).agg(F.max_by(F.struct("rate", "total", "count"), F.struct("pos", "at")).alias("row"))
 
 
 def with_population(cards: DataFrame, population: DataFrame, min_rate: float = 1.0, min_total: float = 500.0) -> DataFrame:
-    """rate, total and count of the first candidate key that is known, if total and rate suffice."""
+    """rate, total and count of the first candidate key that is known, as a query before as an alias, if
+    all are there and total and rate suffice. ``cards`` has id and psa_query."""
+    own = population.groupBy(F.col("query").alias("key")).agg(F.max_by(F.struct("rate", "total", "count"), "pos").alias("row")).withColumn("kind", F.lit(0))
+    known = own.unionByName(grading_aliases(population).withColumn("kind", F.lit(1)))
     keys = cards.select("id", F.posexplode(text.grading_candidates(F.col("psa_query"))).alias("at", "key"))
-    found = keys.join(grading_aliases(population), "key").groupBy("id").agg(F.min_by("row", "at").alias("row"))
+    found = keys.join(known, "key").groupBy("id").agg(F.min_by("row", F.struct("at", "kind")).alias("row"))
     good = (F.col("row.total") >= min_total) & (F.col("row.rate") >= min_rate) & F.col("row.count").isNotNull()
     return cards.join(found, "id", "left").select(*cards.columns, *[F.when(good, F.col(f"row.{c}")).alias(c) for c in ("rate", "total", "count")])

@@ -33,10 +33,14 @@ def with_profit(cards: DataFrame, fee: float = 13000.0) -> DataFrame:
     decision = F.when(roi.isNull(), "missing").when(roi >= GOOD, "valuable").when(roi >= WATCH, "watch").otherwise("avoid")
     label = reduce(lambda rest, kv: F.when(F.col("decision") == kv[0], kv[1]).otherwise(rest), LABELS.items(), F.lit(None))
     out = out.withColumn("decision", decision).withColumn("decision_label", label)
-    return out.withColumn("roi_class", F.when(roi >= 120, "good").when(roi >= 80, "sky").otherwise("warn")).withColumn("bar_width", F.greatest(F.lit(8.0), F.least(F.lit(100.0), roi)))
+    return out.withColumn("roi_class", F.when(roi >= 120, "good").when(roi >= 80, "sky").otherwise("warn")).withColumn("bar_width", F.when(roi.isNotNull(), F.greatest(F.lit(8.0), F.least(F.lit(100.0), roi))))
 
 
 def matches(cards: DataFrame, q: ProfitQuery) -> DataFrame:
+    return cards.where(condition(q))
+
+
+def condition(q: ProfitQuery) -> Column:
     """Filters of a search; stored columns first, so that they reach the scan."""
     keep: list[Column] = []
 
@@ -56,9 +60,9 @@ def matches(cards: DataFrame, q: ProfitQuery) -> DataFrame:
     if q.hide:
         keep.append(~F.col("decision").isin(*q.hide))
     if q.q:
-        hay = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("model", F.lit("")))
+        hay = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("name", "model", "id", "decision_label")])
         keep.append(F.contains(text.normalize(hay), text.normalize(F.lit(q.q))) | F.contains(text.compact(hay), text.compact(F.lit(q.q))))
-    return cards.where(reduce(Column.__and__, keep))
+    return reduce(Column.__and__, keep)
 
 
 def order(sort: str) -> list[Column]:
@@ -74,12 +78,45 @@ def search(cards: DataFrame, q: ProfitQuery) -> DataFrame:
 
 
 def header(cards: DataFrame, q: ProfitQuery) -> DataFrame:
-    """One row: counts, the first row's return and profit in the current order, and the true maxima."""
+    """One row: counts, the first row's return and profit in the current order, and the true maxima,
+    in one aggregation over the cards."""
     every = with_profit(cards, q.fee)
-    found = matches(every, q)
-    first = found.orderBy(*order(q.sort)).limit(1).select(F.floor(F.col("roi") + 0.5).alias("first_roi"), F.floor(F.col("profit") + 0.5).alias("first_profit"))
-    totals = every.agg(F.count("*").alias("n_total")).join(found.agg(F.count("*").alias("n_found"), F.max("roi").alias("max_roi"), F.max("profit").alias("max_profit")))
-    return totals.join(first, how="left")
+    found = condition(q)
+    # The first row is the largest (descending) or smallest (ascending) by whether the value is there, value and place.
+    measure, direction = q.sort.rsplit("-", 1)
+    name, missing = ORDERS[measure]
+    c = F.coalesce(name, F.lit(0)) if missing == "zero" else F.coalesce(name, F.lit("")) if missing == "empty" else F.col(name)
+    best, shown = (F.max_by if direction == "desc" else F.min_by), F.struct("roi", "profit")
+    place = -F.col("pos") if direction == "desc" else F.col("pos")
+    there = c.isNotNull() if direction == "desc" else c.isNull()
+    first = best(F.when(found, shown), F.when(found, F.struct(there.alias("there"), c.alias("value"), place.alias("place"))))
+    out = every.agg(F.count("*").alias("n_total"), F.count_if(found).alias("n_found"), F.max(F.when(found, F.col("roi"))).alias("max_roi"), F.max(F.when(found, F.col("profit"))).alias("max_profit"), first.alias("first"))
+    rounded = lambda c: F.floor(F.col(c) + 0.5)
+    return out.select("n_total", "n_found", "max_roi", "max_profit", rounded("first.roi").alias("first_roi"), rounded("first.profit").alias("first_profit"))
+
+
+def displayed(cards: DataFrame, market: Column) -> DataFrame:
+    """What a result shows beside its values: series label, direct market link, stock and averages as
+    text, of cards with profit and summary columns."""
+    amount = lambda c, text_of, none: F.when(F.col(c).isNotNull(), text_of(F.col(c))).otherwise(none)
+    out = cards.withColumn("series_label", F.coalesce(F.nullif("rarity", F.lit("")), F.col("model"))).withColumn("market_direct", market)
+    out = out.withColumn("stock_display", amount("stock", lambda c: F.concat(text.shown_number(c), F.lit("枚")), "確認中"))
+    for n in (7, 30, 90):
+        out = out.withColumn(f"avg{n}_display", amount(f"avg{n}", lambda c: F.concat(F.replace(F.format_number(c, 2), F.lit(","), F.lit("")), F.lit("枚/日")), "蓄積中"))
+    return out
+
+
+def progress(cards: DataFrame, q: ProfitQuery) -> DataFrame:
+    """One row: how many cards were found, how many of them are shown, that as a text, and whether there are more."""
+    out = with_profit(cards, q.fee).agg(F.count_if(condition(q)).alias("n_found"))
+    out = out.withColumn("n_shown", F.least("n_found", F.lit(q.limit)))
+    return out.withColumn("progress", F.concat(text.shown_number(F.col("n_found")), F.lit("枚中 "), text.shown_number(F.col("n_shown")), F.lit("枚を表示"))).withColumn("has_more", F.col("n_shown") < F.col("n_found"))
+
+
+def coverage_text(coverage: DataFrame) -> DataFrame:
+    """A coverage with its text, one decimal in the rate."""
+    shown = F.concat(text.shown_number(F.col("linked")), F.lit(" / "), text.shown_number(F.col("total")), F.lit("（"), F.format_string("%.1f", "rate"), F.lit("%）"))
+    return coverage.withColumn("shown", F.when(F.col("total") > 0, shown).otherwise("集計中"))
 
 
 def publish_order() -> list[Column]:

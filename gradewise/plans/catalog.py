@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewise.functions import text
 from gradewise.operators import buylist, match, pages, profit, stock
+from gradewise.plans import market
 from gradewise.plans.params import MEASURES, ProfitQuery
+from gradewise.sources import sinks
 from gradewise.sources.cards import CARDS_SQL, cards, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +54,9 @@ def profit_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def publish_sort(spark: SparkSession, d: str) -> DataFrame:
-    return cards(spark, d).orderBy(*profit.publish_order()).limit(100).select("id", "tv30", "price")
+    """All cards in the order of publication, with their place in it."""
+    place = F.row_number().over(Window.orderBy(*profit.publish_order()))
+    return cards(spark, d).select("id", "tv30", "price", place.cast("bigint").alias("place"))
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -70,51 +74,41 @@ def stock_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stock_summary(spark: SparkSession, d: str) -> DataFrame:
-    return stock.summary(stock_grid(spark, d))
+    return stock.summary(stock.placed(observations(spark, d)))
 
 
-STOCK_SQL = (
-    GRID_SQL
-    + """, p AS (SELECT *, lag(stock) OVER (PARTITION BY card_id ORDER BY date_pos) AS before, max(date_pos) OVER (PARTITION BY card_id) AS last FROM grid),
-q AS (SELECT *, CASE WHEN before IS NOT NULL AND stock IS NOT NULL THEN greatest(0e0, before - stock) END AS fall FROM p),
-s AS (SELECT card_id, max(stock) FILTER (WHERE date_pos = last) AS stock, floor(avg(fall) FILTER (WHERE date_pos > last - 7) * 100 + 0.5e0) / 100 AS avg7,
-  floor(avg(fall) FILTER (WHERE date_pos > last - 30) * 100 + 0.5e0) / 100 AS avg30, floor(avg(fall) FILTER (WHERE date_pos > last - 90) * 100 + 0.5e0) / 100 AS avg90, count(stock) AS samples FROM q GROUP BY card_id)
-SELECT *, CASE WHEN samples < 3 OR avg30 IS NULL THEN 'pending' WHEN avg30 >= 1 THEN 'high' WHEN avg30 >= 0.2e0 THEN 'normal' ELSE 'low' END AS demand FROM s"""
-)
-
-#: Titles with the signature that each must give.
-TITLES = [
-    ("ヒロシマのピカチュウ P [SV-P 261]", "SV-P", "261/SV-P", "P", "ヒロシマのピカチュウ", "Pokemon Japanese SV-P 261"),
-    ("メガゲンガーex SAR [M2a 240/193]", "M2a", "240/193", "SAR", "メガゲンガーex", "Pokemon Japanese M2A 240"),
-    ("ニンフィアVMAX HR: SA [S6a 093/069]", "S6a", "093/069", "HR", "ニンフィアVMAX", "Pokemon Japanese S6A 093"),
-]
-
+def stock_current(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of the cards that there are now, which are the parts."""
+    return stock.current_summary(table(spark, d, "part").select(F.col("p_partkey").alias("id")), observations(spark, d))
 
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t[0],) for t in TITLES], "title string")
 
+def stock_to_check(spark: SparkSession, d: str) -> DataFrame:
+    """Linked cards that are still to be checked on the last day of the events but one."""
+    links = table(spark, d, "customer").where("c_nationkey <> 4").select(F.col("c_custkey").alias("card_id"), F.col("c_name").alias("url"), F.col("c_custkey").alias("pos"))
+    return stock.to_check(links, observations(spark, d), "2024-01-29")
 
-def signature(spark: SparkSession, _: str) -> DataFrame:
-    t = F.col("title")
-    return _titles(spark).select("title", text.set_code(t).alias("set_code"), text.card_number(t).alias("card_no"), text.rarity(t).alias("rarity"), text.display_base(t).alias("base"), text.grading_query(t).alias("psa_query"))
 
+def stock_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The observations after a run: customers of a positive balance were seen on a day of the events."""
+    c = table(spark, d, "customer")
+    outcomes = c.select(F.col("c_custkey").alias("card_id"), F.when(F.col("c_acctbal") > 0, "ok").otherwise("missed").alias("outcome"), F.col("c_nationkey").cast("double").alias("stock"))
+    return stock.recorded(observations(spark, d), outcomes, "2024-01-29")
 
-def _values(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
 
+def stock_history_file(spark: SparkSession, d: str) -> DataFrame:
+    """The history as its file has it: each card's values in the order of the dates."""
+    return sinks.history_file(stock_grid(spark, d)).select("card_id", F.to_json("stocks").alias("stocks"))
 
-CODES = [("SV2A", True), ("SM-P", True), ("S8B", True), ("SI", True), ("SWSH184", True), ("M2A", True), ("M-P", True), ("MC", True), ("MMB", True), ("CLF", True), ("CP6", True), ("XY", True), ("XY-P", True), ("XY7", True)]
-CODES += [("XY5", False), ("BW-P", False), ("NEO-P", False), ("DP-P", False), ("S", False), ("M", False)]
-STATES = [("〔状態A-〕x", "A-", "x"), ("〔状態B〕x", "B", "x"), ("x", "A", "x"), ("〔状態難〕x", "A", "x")]
-ENCODED = [("a b'(c)!*~&é", "a%20b'(c)!*~%26%C3%A9")]
-DECODED = [("<b>a</b>&nbsp;&amp;lt;  b", "a < b")]
-FINISH = [("ピカチュウ マスターボールミラー", "masterball"), ("リザードン ミラー", "mirror"), ("カビゴン 旧裏", "old-back"), ("Pikachu", "")]
-
-
-def _fixture(rows: list[tuple], make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, _: make(spark.createDataFrame([(r[0],) for r in rows], "given string"))
 
+STOCK_SQL = (
+    GRID_SQL
+    + """, p AS (SELECT *, lag(stock) OVER (PARTITION BY card_id ORDER BY date_pos) AS before, max(date_pos) OVER (PARTITION BY card_id) AS last FROM grid),
+q AS (SELECT *, CASE WHEN before IS NOT NULL AND stock IS NOT NULL THEN greatest(0e0, before - stock) END AS fall FROM p),
+s AS (SELECT card_id, max(stock) FILTER (WHERE date_pos = last) AS stock, floor(avg(fall) FILTER (WHERE date_pos > last - 7) * 100 + 0.5e0) / 100 AS avg7,
+  floor(avg(fall) FILTER (WHERE date_pos > last - 30) * 100 + 0.5e0) / 100 AS avg30, floor(avg(fall) FILTER (WHERE date_pos > last - 90) * 100 + 0.5e0) / 100 AS avg90, count(stock) AS samples FROM q GROUP BY card_id)
+SELECT *, CASE WHEN samples < 3 OR avg30 IS NULL THEN 'pending' WHEN avg30 >= 1 THEN 'high' WHEN avg30 >= 0.2e0 THEN 'normal' ELSE 'low' END AS demand,
+  CASE WHEN samples < 3 OR avg30 IS NULL THEN '蓄積中' WHEN avg30 >= 1 THEN '買う人が多い' WHEN avg30 >= 0.2e0 THEN '普通' ELSE '少ない' END AS demand_label FROM s"""
+)
 
 def loose_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.loose(F.col("text"))).alias("loose"), F.md5(text.compact(F.col("text"))).alias("compact"))
@@ -124,29 +118,6 @@ NORMAL_SQL = "trim(translate(lower(coalesce(text, '')), '０１２３４５６
 LOOSE_SQL = f"SELECT doc_id, md5(regexp_replace({NORMAL_SQL}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS loose, md5(regexp_replace({NORMAL_SQL}, '[^0-9a-z぀-ヿ㐀-鿿]', '', 'g')) AS compact FROM documents"
 
 
-def _side(spark: SparkSession, d: str, odd: int) -> DataFrame:
-    p = table(spark, d, "part").where(F.col("p_partkey") % 2 == odd)
-    out = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("number"), F.col("p_brand").alias("set_code"), F.col("p_type").alias("rarity"), F.col("p_name").alias("base"), F.col("p_name").alias("name"))
-    return out.withColumns({"finish": F.lit(""), "keys": F.array().cast("array<string>"), "pos": F.col("id"), "state": F.lit("A")})
-
-
-def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    return match.blocked_match(_side(spark, d, 0), _side(spark, d, 1))
-
-
-FUZZY_SQL = """WITH l AS (SELECT p_partkey AS id, p_size, p_brand, p_type, p_name FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS id, p_size, p_brand, p_type, p_name FROM part WHERE p_partkey % 2 = 1),
-x AS (SELECT l.*, EXISTS (SELECT 1 FROM r WHERE r.p_size = l.p_size AND r.p_brand = l.p_brand) AS exact FROM l),
-c AS (SELECT x.id AS left_id, r.id AS right_id, (CASE WHEN contains(x.p_name, r.p_name) OR contains(r.p_name, x.p_name) THEN 16e0 ELSE 0e0 END) + 10e0 + CASE WHEN x.p_brand = r.p_brand THEN 4e0 ELSE 0e0 END + CASE WHEN x.p_type = r.p_type THEN 2e0 ELSE 0e0 END AS score
-  FROM x JOIN r ON x.p_size = r.p_size AND (NOT x.exact OR x.p_brand = r.p_brand))
-SELECT left_id, right_id, score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS n FROM c WHERE score >= 11) WHERE n = 1"""
-
-
-def shops(spark: SparkSession, d: str) -> DataFrame:
-    """Products of the shop: suppliers' offers of parts."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return li.groupBy(F.col("l_partkey").alias("part")).agg(F.min("l_suppkey").alias("supp"), F.min("l_orderkey").alias("pos"))
-
-
 def catalog_merge(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     side = lambda status: o.where(F.col("o_orderstatus") == status).select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("value"))
@@ -158,46 +129,11 @@ MERGE_SQL = """WITH u AS (SELECT 'u' || o_custkey AS url, o_orderkey AS pos, CAS
 SELECT url, arg_max(pos, k * 1000000000 + pos) AS value, CAST(arg_min(k, k * 1000000000 + pos) AS INTEGER) AS first_catalog, arg_min(pos, k * 1000000000 + pos) AS first_pos FROM u GROUP BY url"""
 
 
-def modern_coverage(spark: SparkSession, d: str) -> DataFrame:
-    c = cards(spark, d).withColumn("url", F.when(F.col("price") > 40000, F.col("id")))
-    return match.coverage(c.where(~text.is_modern(text.set_code_of_card(F.col("name"), F.col("model")))))
-
-
-def seed_queue(spark: SparkSession, d: str) -> DataFrame:
-    c = cards(spark, d).select(text.set_code_of_card(F.col("name"), F.col("model")).alias("code"))
-    done = table(spark, d, "part").where("p_size = 1").select(F.upper("p_brand").alias("code")).where("code LIKE '%1'")
-    return match.seeds(c, done)
-
-
-def all_keys(spark: SparkSession, d: str) -> DataFrame:
-    c = cards(spark, d).select("id", "name", "model")
-    entries = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("url"), F.col("p_partkey").alias("pos"), F.array("p_brand", F.element_at(F.split("p_name", " "), 1)).alias("keys"), F.lit("A").alias("state"), F.col("p_name").alias("name"))
-    return match.all_keys_match(c, entries)
-
-
-ALL_KEYS_SQL = """WITH norm AS (SELECT p_partkey, p_size, regexp_replace(lower(p_name || ' ' || p_brand), '[^\\p{L}\\p{N}]+', '', 'g') AS hay, regexp_replace(lower(p_brand), '[^\\p{L}\\p{N}]+', '', 'g') AS k1,
-  regexp_replace(lower(string_split(p_name, ' ')[1]), '[^\\p{L}\\p{N}]+', '', 'g') AS k2 FROM part)
-SELECT CAST(c.p_partkey AS VARCHAR) AS id, CAST(min(e.p_partkey) AS VARCHAR) AS url FROM norm c JOIN norm e ON e.p_size = 7 AND contains(c.hay, e.k1) AND contains(c.hay, e.k2) GROUP BY c.p_partkey"""
-
-
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     previous = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("id"), F.col("l_suppkey").alias("link"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     return match.carry_forward(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id")), previous, ["link"])
 
 
-def population_join(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    c = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("Pokemon Japanese "), F.col("p_brand"), F.lit(" 0"), F.col("p_size").cast("string")).alias("psa_query"))
-    rows = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("Pokemon Japanese "), F.col("p_brand"), F.lit(" "), F.col("p_size").cast("string")).alias("query"), (F.col("p_size") / F.lit(10.0)).alias("rate"), (F.col("p_partkey") * 10.0).alias("total"), F.col("p_partkey").cast("double").alias("count"), F.col("p_partkey").alias("pos"))
-    return match.with_population(c, rows)
-
-
-POPULATION_SQL = """WITH r AS (SELECT p_brand, p_size, max(p_partkey) AS k FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)
-SELECT CAST(p.p_partkey AS VARCHAR) AS id, 'Pokemon Japanese ' || p.p_brand || ' 0' || p.p_size AS psa_query, CASE WHEN k * 10e0 >= 500 AND r.p_size / 10e0 >= 1 THEN r.p_size / 10e0 END AS rate,
-  CASE WHEN k * 10e0 >= 500 AND r.p_size / 10e0 >= 1 THEN k * 10e0 END AS total, CASE WHEN k * 10e0 >= 500 AND r.p_size / 10e0 >= 1 THEN CAST(k AS DOUBLE) END AS count
-FROM part p LEFT JOIN r ON r.p_brand = p.p_brand AND r.p_size = p.p_size"""
-
-
 def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links of parts to suppliers' pages, today's catalog, and the misses so far."""
     links = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("card_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("url"))
@@ -218,11 +154,17 @@ SELECT card_id, url, CASE WHEN k % 8 = 0 THEN 'invalid' WHEN k % 4 = 0 THEN 'mis
 
 def link_state(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "url string"), spark.createDataFrame([], "card_id bigint")
-    misses, bad, _ = stock.next_state(dead_links(spark, d), *none)
+    before = _run(spark, d)[2].unionByName(spark.range(1).select(F.lit("no longer linked").alias("url"), F.lit(1).alias("misses")))
+    misses, bad, _ = stock.next_state(dead_links(spark, d), *none, before)
     return misses.join(bad.withColumn("invalid", F.lit(True)), "url", "full").select("url", "misses", F.coalesce("invalid", F.lit(False)).alias("invalid"))
 
 
-STATE_SQL = """WITH k AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linenumber = 1) SELECT 's' || k AS url, CASE WHEN k % 8 = 0 THEN 2 WHEN k % 4 = 0 THEN 1 END::INTEGER AS misses, k % 8 = 0 OR (k % 4 <> 0 AND k % 5 = 0) AS invalid FROM k WHERE k % 4 = 0 OR k % 5 = 0"""
+STATE_SQL = """WITH k AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linenumber = 1) SELECT 's' || k AS url, CASE WHEN k % 8 = 0 THEN 2 WHEN k % 4 = 0 THEN 1 END::INTEGER AS misses, k % 8 = 0 OR (k % 4 <> 0 AND k % 5 = 0) AS invalid FROM k WHERE k % 4 = 0 OR k % 5 = 0
+UNION ALL SELECT 's' || s_suppkey, 1, false FROM supplier WHERE s_suppkey % 8 = 0 AND s_suppkey NOT IN (SELECT k FROM k) UNION ALL SELECT 'no longer linked', 1, false"""
+
+
+def run_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stock.run_counts(dead_links(spark, d))
 
 
 def link_due(spark: SparkSession, d: str) -> DataFrame:
@@ -245,18 +187,6 @@ def link_keep(spark: SparkSession, d: str) -> DataFrame:
 KEEP_SQL = """SELECT l_orderkey AS id, CASE WHEN l_orderkey % 9 = 0 THEN 'new' WHEN l_suppkey % 4 <> 0 AND l_suppkey % 5 <> 0 AND l_suppkey % 10 <> 1 THEN 's' || l_suppkey END AS url FROM lineitem WHERE l_linenumber = 1"""
 
 
-def queue(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    c = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand").alias("query"), F.col("p_partkey").alias("pos"), F.col("p_type").like("PROMO%").alias("promo"))
-    done = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"))
-    tried = p.where("p_size < 10").select(F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand").alias("query")).distinct()
-    return match.unmatched_queue(c, done, tried, p.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("id"))).select("query", "id", "pos", "promo", "forced")
-
-
-QUEUE_SQL = """WITH c AS (SELECT p_partkey AS id, p_size || ' ' || p_brand AS query, p_type LIKE 'PROMO%' AS promo, p_partkey % 11 = 0 AS forced, p_size FROM part WHERE p_partkey % 2 <> 0)
-SELECT query, id, id AS pos, promo, forced FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY id) AS n FROM c WHERE p_size >= 10 OR forced) WHERE n = 1 ORDER BY forced DESC, promo DESC, id LIMIT 40"""
-
-
 def listings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("listing_id"), F.col("event_type").alias("shop"), F.col("user_id").alias("card"), F.col("value").alias("price"), F.col("ts").alias("posted_at"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
 
@@ -269,6 +199,11 @@ EVENTS_SQL = "WITH e AS (SELECT event_id AS listing_id, event_type AS shop, user
 WINDOW_SQL = EVENTS_SQL + "SELECT shop, card, CAST(grouping(shop) AS TINYINT) AS all_shops, count(*) AS n, max(posted_at) AS last_seen, quantile_cont(price, 0.5) AS price_median FROM e {} GROUP BY GROUPING SETS ((shop, card), (card))"
 
 
+VS_AVG_SQL = """, s AS (SELECT card, shop, count(*) AS n, sum(cents) AS c FROM e GROUP BY card, shop), a AS (SELECT card, sum(cents) AS c, count(*) AS n, min(price) AS price_min, max(price) AS price_max, quantile_cont(price, 0.5) AS price_median FROM e GROUP BY card),
+m AS (SELECT card, shop, s.n, CAST(s.c AS DOUBLE) / s.n / 100 AS avg, CAST(a.c AS DOUBLE) / a.n / 100 AS avg_all, price_min, price_max, price_median FROM s JOIN a USING (card)), p AS (SELECT *, avg - avg_all AS difference, (avg - avg_all) / avg_all * 100 AS pct FROM m),
+v AS (SELECT *, CASE WHEN pct <= -10 THEN 'cheap' WHEN pct >= 10 THEN 'expensive' ELSE 'average' END AS price_label, CASE WHEN n >= 10 THEN 'many' ELSE 'few' END AS count_label FROM p)"""
+
+
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return pages.headings(table(spark, d, "pages"))
 
@@ -278,7 +213,15 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", pages.total_pages(F.concat("url", F.lit('"'), "html")).alias("n"))
+    """Page counts of all pages, some with a last-page button before their address."""
+    button = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a class="to_last_page pager_btn">'), F.col("page_id").cast("string"), F.lit("</a>"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", pages.total_pages(F.concat(button, "url", F.lit('"'), "html")).alias("n"))
+
+
+def new_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as posts, of which several share an id or an image."""
+    e = table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string"), "event_type").alias("post_id"), F.col("ts").alias("posted_at"), F.when(F.col("value") > 5, F.floor(F.col("value") * 10).cast("string")).alias("image_hash"), "event_id")
+    return buylist.new_posts(e.withColumn("posted_at", F.struct("posted_at", "event_id"))).select("post_id", F.col("posted_at.posted_at").alias("posted_at"), "image_hash")
 
 
 def queries() -> dict[str, Query]:
@@ -297,29 +240,28 @@ def queries() -> dict[str, Query]:
         "stock_retention": stock_grid,
         "stock_decrease": stock_summary,
         "stock_demand": lambda spark, d: stock_summary(spark, d).groupBy("demand").agg(F.count("*").alias("n")),
-        "signature": signature,
-        "modern_codes": _fixture(CODES, lambda f: f.select(F.col("given").alias("code"), text.is_modern(F.col("given")).alias("modern"))),
-        "state_labels": _fixture(STATES, lambda f: f.select(F.col("given").alias("title"), text.state_label(F.col("given")).alias("state"), text.strip_state(F.col("given")).alias("rest"))),
-        "url_encode": _fixture(ENCODED, lambda f: f.select(F.col("given").alias("raw"), text.percent_encode(F.col("given")).alias("encoded"))),
-        "html_decode": _fixture(DECODED, lambda f: f.select(F.col("given").alias("html"), text.decode_html(F.col("given")).alias("decoded"))),
-        "finish_kind": _fixture(FINISH, lambda f: f.select(F.col("given").alias("title"), text.finish_kind(F.col("given")).alias("finish"))),
+        "stock_current": stock_current,
+        "stock_to_check": stock_to_check,
+        "stock_recorded": stock_recorded,
+        "stock_history_file": stock_history_file,
+        "run_counts": run_counts,
+        "profit_week": _search(ProfitQuery(tx=0, tx7=1, tx7Max=8, psaTx7=0, psaTx7Max=2, roi=-1000, psaMax=None, sort="tx7-desc")),
+        "profit_search_label": _search(ProfitQuery(tx=0, roi=-1000, psaMax=None, q="様子見", sort="roi-asc")),
         "loose_text": loose_text,
-        "fuzzy_match": fuzzy_match,
-        "all_keys_match": all_keys,
         "catalog_merge": catalog_merge,
         "carry_forward": carry_forward,
-        "psa_join": population_join,
-        "modern_coverage": modern_coverage,
-        "seed_queue": seed_queue,
         "dead_link_state": dead_links,
         "link_state": link_state,
         "link_due": link_due,
         "link_preserve": link_keep,
-        "unmatched_queue": queue,
         "buylist_dedupe": _on_listings(buylist.dedupe),
         "buylist_daily": _on_listings(buylist.daily),
         "buylist_window_7": _on_listings(lambda x: buylist.window(x, 7, "2024-01-31 00:00:00")),
         "buylist_window_all": _on_listings(lambda x: buylist.window(x, None, "")),
+        "buylist_window_30": _on_listings(lambda x: buylist.window(x, 30, "2024-01-31 00:00:00")),
+        "buylist_board": _on_listings(lambda x: buylist.board(x.withColumn("confidence", F.col("price") / 500), "2024-01-31 00:00:00", "click", 1, 2, (5.0, 400.0), "cheap", 0.002)),
+        "buylist_trend": _on_listings(lambda x: buylist.trend(x, 7)),
+        "buylist_new_posts": new_posts,
         "buylist_vs_avg": _on_listings(buylist.against_mean),
         "buylist_price_changes": _on_listings(buylist.price_changes),
         "page_headings": page_headings,
@@ -329,7 +271,7 @@ def queries() -> dict[str, Query]:
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = _search(ProfitQuery(tx=1, roi=-1000, psaMax=None, sort=f"{m}-{way}"))
-    return out
+    return out | market.queries()
 
 
 GUIDE_SQL = """SELECT psa_price, target_roi, CAST(greatest(0e0, floor(({h} * psa_price - 13000e0 * (1 + target_roi / 100e0)) / (target_roi / 100e0 + 1 - (1 - {h}) * 0.75e0) / 1000 + 0.5e0) * 1000) AS DOUBLE) AS buy_price
@@ -344,45 +286,44 @@ def oracle_sql() -> dict[str, str]:
         "profit_search": all_cards + "WHERE roi >= -1000 AND psa10 >= 0 AND (contains(lower(name || ' ' || model), 'brand#1') OR contains(regexp_replace(lower(name || ' ' || model), '[^0-9a-z]', '', 'g'), 'brand1')) ORDER BY roi DESC NULLS LAST, pos LIMIT 60",
         "profit_hidden": all_cards + "WHERE roi >= -1000 AND psa10 >= 0 AND decision <> 'valuable' ORDER BY profit ASC NULLS LAST, pos LIMIT 60",
         "profit_ranges": all_cards + "WHERE tx BETWEEN 2 AND 9 AND ptx BETWEEN 1 AND 8 AND roi >= 10 AND psa10 BETWEEN 20000 AND 200000 AND price BETWEEN 20000 AND 60000 ORDER BY coalesce(price, 0), pos LIMIT 60",
-        "profit_all": CALC_SQL + 'SELECT id, name, price, psa10, profit, roi, decision, CASE WHEN roi >= 120 THEN \'good\' WHEN roi >= 80 THEN \'sky\' ELSE \'warn\' END AS roi_class, greatest(8e0, least(100e0, roi)) AS bar_width, tx AS "saleTx30d", tx7 AS "saleTx7d", ptx AS "psaTx30d", ptx7 AS "psaTx7d" FROM found',
+        "profit_all": CALC_SQL + 'SELECT id, name, price, psa10, profit, roi, decision, CASE WHEN roi >= 120 THEN \'good\' WHEN roi >= 80 THEN \'sky\' ELSE \'warn\' END AS roi_class, CASE WHEN roi IS NOT NULL THEN greatest(8e0, least(100e0, roi)) END AS bar_width, tx AS "saleTx30d", tx7 AS "saleTx7d", ptx AS "psaTx30d", ptx7 AS "psaTx7d" FROM found',
         "profit_decisions": CALC_SQL + "SELECT decision, CASE decision WHEN 'missing' THEN '未取得' WHEN 'valuable' THEN '出す価値あり' WHEN 'watch' THEN '様子見' ELSE '出さない' END AS decision_label, count(*) AS n FROM found GROUP BY decision",
         "profit_header_stats": CALC_SQL + f", b AS (SELECT * FROM found {BASE_SQL}), f AS (SELECT * FROM b ORDER BY roi DESC NULLS LAST, pos LIMIT 1) SELECT (SELECT count(*) FROM found) AS n_total, (SELECT count(*) FROM b) AS n_found, (SELECT max(roi) FROM b) AS max_roi, (SELECT max(profit) FROM b) AS max_profit, (SELECT CAST(floor(roi + 0.5e0) AS BIGINT) FROM f) AS first_roi, (SELECT CAST(floor(profit + 0.5e0) AS BIGINT) FROM f) AS first_profit",
-        "publish_sort": "WITH " + CARDS_SQL + " SELECT id, tv30, price FROM cards ORDER BY coalesce(tv30, 0) DESC, coalesce(price, 0) DESC, pos LIMIT 100",
+        "publish_sort": "WITH " + CARDS_SQL + " SELECT id, tv30, price, row_number() OVER (ORDER BY coalesce(tv30, 0) DESC, coalesce(price, 0) DESC, pos) AS place FROM cards",
         "guide_70": GUIDE_SQL.format(h="0.7e0"),
         "guide_50": GUIDE_SQL.format(h="0.5e0"),
         "stock_retention": GRID_SQL + " SELECT card_id, CAST(date_pos AS INTEGER) AS date_pos, obs_date, stock FROM grid",
         "stock_decrease": STOCK_SQL,
+        "stock_current": f"SELECT * FROM ({STOCK_SQL}) WHERE card_id IN (SELECT p_partkey FROM part)",
+        "stock_to_check": "SELECT c_custkey AS card_id, c_name AS url, c_custkey AS pos FROM customer WHERE c_nationkey <> 4 AND c_custkey NOT IN (SELECT user_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-29')",
+        "stock_recorded": "WITH n AS (SELECT c_custkey AS card_id, DATE '2024-01-29' AS obs_date, CAST(c_nationkey AS DOUBLE) AS stock FROM customer WHERE c_acctbal > 0) SELECT * FROM n UNION ALL SELECT user_id, CAST(ts AS DATE), CAST(count(*) AS DOUBLE) FROM events WHERE NOT (CAST(ts AS DATE) = DATE '2024-01-29' AND user_id IN (SELECT card_id FROM n)) GROUP BY 1, 2",
+        "stock_history_file": GRID_SQL + " SELECT card_id, '[' || string_agg(coalesce(CAST(stock AS VARCHAR), 'null'), ',' ORDER BY date_pos) || ']' AS stocks FROM grid GROUP BY card_id",
+        "run_counts": f"SELECT count(*) FILTER (WHERE outcome = 'ok') AS checked, count(*) FILTER (WHERE outcome = 'rejected') AS rejected, count(*) FILTER (WHERE outcome = 'invalid') AS broken, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM ({DEAD_SQL})",
+        "profit_week": all_cards + "WHERE tx7 BETWEEN 1 AND 8 AND ptx7 BETWEEN 0 AND 2 AND roi >= -1000 AND psa10 >= 0 ORDER BY tx7 DESC, pos LIMIT 60",
+        "profit_search_label": all_cards + "WHERE roi >= -1000 AND psa10 >= 0 AND decision = 'watch' ORDER BY roi, pos LIMIT 60",
         "stock_demand": f"SELECT demand, count(*) AS n FROM ({STOCK_SQL}) GROUP BY demand",
-        "signature": _values(TITLES, "title, set_code, card_no, rarity, base, psa_query"),
-        "modern_codes": _values(CODES, "code, modern"),
-        "state_labels": _values(STATES, "title, state, rest"),
-        "url_encode": _values(ENCODED, "raw, encoded"),
-        "html_decode": _values(DECODED, "html, decoded"),
-        "finish_kind": _values(FINISH, "title, finish"),
         "loose_text": LOOSE_SQL,
-        "fuzzy_match": FUZZY_SQL,
-        "all_keys_match": ALL_KEYS_SQL,
         "catalog_merge": MERGE_SQL,
         "carry_forward": "SELECT CAST(p_partkey AS VARCHAR) AS id, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS link FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey",
-        "psa_join": POPULATION_SQL,
-        "modern_coverage": "WITH " + CARDS_SQL + " SELECT count(*) AS total, count(*) FILTER (WHERE price > 40000) AS linked, count(*) - count(*) FILTER (WHERE price > 40000) AS missing, CAST(count(*) FILTER (WHERE price > 40000) AS DOUBLE) / count(*) * 100 AS rate FROM cards",
-        "seed_queue": "SELECT upper(p_brand) AS code, count(*) AS n, false AS promo FROM part WHERE upper(p_brand) NOT IN (SELECT upper(p_brand) FROM part WHERE p_size = 1 AND p_brand LIKE '%1') GROUP BY 1",
         "dead_link_state": DEAD_SQL,
         "link_state": STATE_SQL,
         "link_due": DUE_SQL,
         "link_preserve": KEEP_SQL,
-        "unmatched_queue": QUEUE_SQL,
         "buylist_dedupe": EVENTS_SQL + "SELECT shop, card, price, CAST(posted_at AS DATE) AS day, arg_min(listing_id, (posted_at, listing_id)) AS listing_id, count(*) AS n_posts FROM e GROUP BY shop, card, price, day",
         "buylist_daily": EVENTS_SQL + "SELECT shop, card, CAST(posted_at AS DATE) AS day, count(*) AS n, min(price) AS price_min, max(price) AS price_max, CAST(sum(cents) AS DOUBLE) / count(*) / 100 AS price_avg FROM e GROUP BY shop, card, day",
         "buylist_window_7": WINDOW_SQL.format("WHERE posted_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY"),
         "buylist_window_all": WINDOW_SQL.format(""),
-        "buylist_vs_avg": EVENTS_SQL + ", s AS (SELECT card, shop, count(*) AS n, CAST(sum(cents) AS DOUBLE) / count(*) / 100 AS avg, CAST(sum(sum(cents)) OVER (PARTITION BY card) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY card) / 100 AS avg_all FROM e GROUP BY card, shop), p AS (SELECT *, (avg - avg_all) / avg_all * 100 AS pct FROM s) SELECT *, CASE WHEN pct <= -10 THEN 'cheap' WHEN pct >= 10 THEN 'expensive' ELSE 'average' END AS price_label, CASE WHEN n >= 10 THEN 'many' ELSE 'few' END AS count_label FROM p",
+        "buylist_window_30": WINDOW_SQL.format("WHERE posted_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY"),
+        "buylist_board": EVENTS_SQL + ", h AS (SELECT * FROM e WHERE price / 500 >= 0.002e0)" + VS_AVG_SQL.replace("FROM e", "FROM h") + ", c AS (SELECT card, shop, count(*) FILTER (WHERE posted_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS n7, count(*) FILTER (WHERE posted_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY) AS n30, max(posted_at) AS last_seen FROM h GROUP BY card, shop) SELECT * FROM v JOIN c USING (card, shop) WHERE n7 >= 1 AND n30 >= 2 AND shop = 'click' AND avg BETWEEN 5 AND 400 AND price_label = 'cheap'",
+        "buylist_trend": EVENTS_SQL + ", t AS (SELECT shop, card, CAST(posted_at AS DATE) AS day, count(*) AS n, min(price) AS price_min, max(price) AS price_max, CAST(sum(cents) AS DOUBLE) / count(*) / 100 AS price_avg FROM e WHERE card = 7 GROUP BY shop, card, day) SELECT *, price_avg - lag(price_avg) OVER (PARTITION BY shop ORDER BY day) AS change FROM t",
+        "buylist_new_posts": "WITH e AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) || '-' || event_type AS post_id, ts, event_id, CASE WHEN value > 5 THEN CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) END AS image_hash FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY ts, event_id) AS n FROM e), i AS (SELECT *, row_number() OVER (PARTITION BY image_hash ORDER BY ts, event_id) AS m FROM o WHERE n = 1) SELECT post_id, ts AS posted_at, image_hash FROM i WHERE m = 1 OR image_hash IS NULL",
+        "buylist_vs_avg": EVENTS_SQL + VS_AVG_SQL + " SELECT * FROM v",
         "buylist_price_changes": EVENTS_SQL + ", w AS (SELECT *, lag(price) OVER (PARTITION BY shop, card, CAST(posted_at AS DATE) ORDER BY posted_at, listing_id) AS before FROM e) SELECT listing_id, shop, card, before, price FROM w WHERE before IS NOT NULL AND before <> price",
         "page_headings": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages",
         "page_links": "SELECT page_id, n - 1 AS place, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))",
-        "page_counts": "SELECT page_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(url || '\"' || html, 'page=(\\d+)', 1), lambda x: TRY_CAST(x AS INTEGER))), 1) AS INTEGER) AS n FROM pages",
+        "page_counts": "SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN greatest(page_id, 1) ELSE coalesce(list_max(list_transform(regexp_extract_all(url || '\"' || html, '[?&]page=([0-9]+)', 1), lambda x: TRY_CAST(x AS INTEGER))), 1) END AS INTEGER) AS n FROM pages",
     }
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = all_cards + f"WHERE tx >= 1 AND roi >= -1000 AND psa10 >= 0 ORDER BY {SQL_ORDER[m]} {way} NULLS LAST, pos LIMIT 60"
-    return out
+    return out | market.oracle_sql(STOCK_SQL, CALC_SQL)

@@ -21,16 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON file of the declared schema; an empty relation where there is none. Numbers that
-    aren't finite become null."""
+    """JSON of the declared schema: a file that holds one array, or a folder of lines. An empty relation
+    where there is none; what can't be read is left out. Numbers that aren't finite become null."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=not fs.getFileStatus(hadoop).isDirectory())
     number = {f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.select(*[F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if c in number else c for c in df.columns])
 
 
+#: Graded populations by query, and pages of sets that list them.
+POPULATION = T.StructType([T.StructField(c, T.DoubleType()) for c in ("psa10Rate", "psaTotal", "psa10Count")] + [T.StructField(c, T.StringType()) for c in ("cardNo", "sourceSet")])
+MANIFEST = T.StructType([T.StructField(c, T.BooleanType() if c == "needsReview" else T.StringType()) for c in ("name", "kind", "url", "needsReview", "note")])
+
+
+def read_population(spark: SparkSession, path: str) -> DataFrame:
+    """(query, rate, total, count, card_no, source_set, pos) of a file with an object ``byQuery``."""
+    whole = read_json(spark, path, T.StructType([T.StructField("byQuery", T.MapType(T.StringType(), POPULATION))]))
+    rows = whole.select(F.posexplode(F.map_entries("byQuery")).alias("pos", "e"))
+    names = {"rate": "psa10Rate", "total": "psaTotal", "count": "psa10Count", "card_no": "cardNo", "source_set": "sourceSet"}
+    return rows.select(F.col("e.key").alias("query"), *[F.col(f"e.value.{v}").alias(k) for k, v in names.items()], "pos")
+
+
+def assigned_json(texts: DataFrame, column: str, schema: T.StructType | T.ArrayType) -> DataFrame:
+    """Scripts that assign one JSON value to a global: the value, as a column ``value``."""
+    bare = F.regexp_replace(F.regexp_replace(column, r"^[^=]*=\s*", ""), r";?\s*\z", "")
+    return texts.withColumn("value", F.from_json(bare, schema))
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards from parts and their line items; money in whole cents until it is divided once."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus", "l_returnflag", "l_shipdate", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
