@@ -6,25 +6,34 @@ the revisit. Its validators must agree with the revisit's (entity tags by weak c
 last-modified date); then the revisit gets its payload, and its headers with those that a
 not-modified response may change.
 
-The as-of join has two levels: within a URL's records of one span of time, and over the last
-responses of its spans. So a URL that holds a large share of all records is split by time. Only ids
-and times take part in it; payloads are joined by record id afterwards.
+The as-of join has three levels: within a URL's records of one minute, over the last responses of the
+minutes of a day, and over those of its days. So a URL that holds a large share of all records is split
+by time. Only ids and times take part in it. Payloads are joined by record id afterwards, those of
+resolved revisits only; a response that very many revisits resolve to is dealt out in copies, one for
+each ``HOT`` revisits.
 
 Defined results: a null URL or time has no earlier response; a response captured at the same moment
 is not earlier; of two responses captured at one moment the one with the larger id is later;
 without a validator on both sides the outcome is ``no_validator``; repeated rows each give a row, and
-of responses that share an id one counts; an empty table gives an empty result.
+of responses that share an id the one with the earliest time, then the smallest URL and payload
+digest counts, for all their revisits; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradewise.llm.common import table
+from gradewise.llm.common import cut, table
 
-#: Seconds of a span of time.
-SPAN = 24 * 3600
+#: Seconds of the spans of time of the as-of join, from the shortest.
+SPANS = (60, 24 * 3600)
+#: Revisits of one response that share a copy of its payload.
+HOT = 10_000
 #: Query parameters that don't change what a URL gives.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
 #: Headers of a not-modified response that say nothing about the stored one.
@@ -51,15 +60,22 @@ def _tag(header: Column) -> Column:
 def latest_earlier(records: DataFrame) -> DataFrame:
     """(record_id, target_id): the latest full response of the same URL before each revisit."""
     micros = F.unix_micros("captured_at")
-    full = F.col("kind") == "response"
-    events = records.select(F.col("record_id"), canonical_url(F.col("url")).alias("site"), micros.alias("at"), full.alias("full")).where("site IS NOT NULL AND at IS NOT NULL")
-    events = events.withColumn("span", F.floor(F.col("at") / F.lit(SPAN * 1_000_000)))
+    events = records.select("record_id", canonical_url(F.col("url")).alias("site"), micros.alias("at"), (F.col("kind") == "response").alias("full")).where("site IS NOT NULL AND at IS NOT NULL")
+    events = events.select("*", *[F.floor(F.col("at") / F.lit(s * 1_000_000)).alias(f"span{i}") for i, s in enumerate(SPANS)])
     last = F.max(F.when(F.col("full"), F.struct("at", "record_id")))
-    within = Window.partitionBy("site", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("site").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = events.groupBy("site", "span").agg(last.alias("last")).select("site", "span", F.max("last").over(before).alias("carried"))
-    near = events.withColumn("near", last.over(within)).where(~F.col("full"))
-    return near.join(spans, ["site", "span"], "left").select("record_id", F.coalesce("near.record_id", "carried.record_id").alias("target_id"))
+    within = Window.partitionBy("site", "span0").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    out = events.withColumn("near0", last.over(within)).where(~F.col("full"))
+    lasts = events.groupBy("site", "span0", "span1").agg(last.alias("last"))
+    for i in range(len(SPANS)):
+        around = ["site", f"span{i + 1}"] if i + 1 < len(SPANS) else ["site"]
+        before = Window.partitionBy(*around).orderBy(f"span{i}").rowsBetween(Window.unboundedPreceding, -1)
+        key = ["site", *[f"span{j}" for j in range(i, len(SPANS))]]
+        carried = lasts.select(*key, F.max("last").over(before).alias(f"near{i + 1}"))
+        out = out.join(carried, key, "left")
+        if i + 1 < len(SPANS):
+            lasts = lasts.groupBy(*key[:1], *key[2:]).agg(F.max("last").alias("last"))
+    # What is nearer in time is later.
+    return out.select("record_id", F.coalesce(*[f"near{i}.record_id" for i in range(len(SPANS) + 1)]).alias("target_id"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -69,29 +85,111 @@ def resolve(records: DataFrame) -> DataFrame:
     outcome: resolved, mismatch, no_validator or no_response; payload and headers only if resolved.
     """
     revisits = records.where(F.col("kind") == "revisit").select("record_id", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("sent"))
-    stored = records.where(F.col("kind") == "response").select(F.col("record_id").alias("target_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["target_id"])
-    targets = latest_earlier(records).dropDuplicates(["record_id"])
-    found = revisits.join(targets, "record_id", "left").join(stored, "target_id", "left")
+    responses = records.where(F.col("kind") == "response").select(F.col("record_id").alias("target_id"), "captured_at", "url", "headers", "payload")
+    rank = F.struct("captured_at", "url", F.xxhash64("payload"))
+    stored = responses.groupBy("target_id").agg(F.min_by("headers", rank).alias("stored"), F.count("*").alias("n"), F.min(rank).alias("first"))
+    found = revisits.join(latest_earlier(records).dropDuplicates(["record_id"]), "record_id", "left").join(stored, "target_id", "left")
     etags, dates = ([F.col(side)[name] for side in ("sent", "stored")] for name in ("etag", "last-modified"))
     agree = F.coalesce(_tag(etags[0]) == _tag(etags[1]), dates[0] == dates[1])
     outcome = F.when(F.col("target_id").isNull(), "no_response").when(agree, "resolved").when(~agree, "mismatch").otherwise("no_validator")
     permitted = F.map_filter("sent", lambda k, _: ~k.isin(*KEPT_FROM_STORED))
     merged = F.map_concat(F.map_filter("stored", lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
-    good = F.col("outcome") == "resolved"
-    return found.withColumn("outcome", outcome).select("record_id", "target_id", "outcome", F.when(good, F.col("payload")).alias("payload"), F.when(good, merged).alias("headers"))
+    judged = cut(found.select("record_id", "target_id", outcome.alias("outcome"), merged.alias("merged"), "n", "first"))
+    good = judged.where("outcome = 'resolved'")
+    shares = good.groupBy("target_id").agg((F.floor(F.count("*") / HOT) + 1).alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"))
+    once = responses.join(shares, "target_id").where((F.col("n") == 1) | (rank == F.col("first"))).select("target_id", "copies", "n", "payload")
+    # Responses that share id, time, URL and payload are one.
+    several = not stored.where("n > 1").isEmpty()
+    once = once.where("n = 1").unionByName(once.where("n > 1").dropDuplicates(["target_id"])) if several else once
+    payloads = once.select("target_id", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), "payload")
+    hot = shares.where("copies > 1").select("target_id", "copies")
+    dealt = good.join(hot, "target_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id"), F.coalesce("copies", F.lit(1))).cast("int"))
+    resolved = dealt.join(payloads, ["target_id", "copy"], "left").select("record_id", "target_id", "outcome", "payload", F.col("merged").alias("headers"))
+    none = judged.where("outcome <> 'resolved'").select("record_id", "target_id", "outcome", F.lit(None).cast(records.schema["payload"].dataType).alias("payload"), F.lit(None).cast("map<string,string>").alias("headers"))
+    return resolved.unionByName(none)
+
+
+def _members(content: bytes) -> Iterator[bytes]:
+    """The text of a WARC file, member by member where it is compressed."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while content[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        yield one.decompress(content)
+        content = one.unused_data
+
+
+def _fields(block: bytes) -> dict[str, str]:
+    pairs = (line.partition(b":") for line in block.split(b"\r\n")[1:] if b":" in line)
+    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+
+
+def warc_records(content: bytes) -> Iterator[tuple]:
+    """(record_id, url, time, kind, headers, payload) of a file's responses and not-modified revisits."""
+    for text in _members(content):
+        at = 0
+        while (start := text.find(b"WARC/", at)) >= 0 and (end := text.find(b"\r\n\r\n", start)) >= 0:
+            own = _fields(text[start:end])
+            size = int(own.get("content-length", "0") or 0)
+            body, at = text[end + 4 : end + 4 + size], end + 4 + size
+            kind = own.get("warc-type", "")
+            if kind != "response" and not (kind == "revisit" and own.get("warc-profile", "").rstrip("/").endswith("server-not-modified")):
+                continue
+            head, _, payload = body.partition(b"\r\n\r\n")
+            yield own.get("warc-record-id"), own.get("warc-target-uri"), own.get("warc-date"), kind, [*_fields(head).items()], payload.decode("utf-8", "replace") if kind == "response" else None
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, compressed or not, as ``resolve`` takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = list(zip(*warc_records(content.as_py()), strict=True))
+                if rows:
+                    kinds = [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["record_id", "url", "time", "kind", "headers", "payload"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "record_id string, url string, time string, kind string, headers map<string,string>, payload string").withColumn("captured_at", F.to_timestamp("time")).drop("time")
+
+
+#: The captures of a page of ``crawl_of``: number, kind, hours after the page's time, the version that it
+#: has or asks for, its validators, and the pages that have it.
+CAPTURES = [
+    (0, "response", 0, 1, "tag", "true"),
+    (1, "revisit", 168, 1, "weak", "true"),
+    (2, "response", 192, 2, "tag", "page_id % 3 = 0"),
+    (3, "revisit", 216, 1, "weak", "true"),
+    (4, "revisit", -1, 1, "weak", "page_id % 2 = 0"),
+    (5, "revisit", 240, 1, "none", "page_id % 4 = 0"),
+    (6, "revisit", 240, 1, "date", "page_id % 4 = 1"),
+    (7, "response", 216, 3, "tag", "page_id % 5 = 0"),
+]
 
 
 def crawl_of(pages: DataFrame) -> DataFrame:
-    """A crawl's records: each page as a full response, an hour of pages apart by a minute each, and
-    a week later as a not-modified revisit with the page's entity tag."""
+    """A crawl's records, with a history for each page, pages a minute apart: a full response, revisits
+    before it, a week later, and after the page has changed on some, with a strong or weak tag, a date
+    alone, or no validator, and a response at the very moment of a revisit."""
     digest = F.substring(F.md5(F.col("html")), 1, 16)
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 60)
     text = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
-    full = text("content-type", "text/html", "content-length", F.octet_length("html").cast("string"), "etag", F.concat(F.lit('"'), digest, F.lit('"')), "server", "a")
-    sent = text("content-length", "0", "connection", "close", "etag", F.concat(F.lit('W/"'), digest, F.lit('"')), "cache-control", "max-age=60")
-    own = F.struct((F.col("page_id") * 2).alias("record_id"), at.alias("captured_at"), F.lit("response").alias("kind"), full.alias("headers"), F.col("html").alias("payload"))
-    later = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), (at + F.expr("INTERVAL 7 DAYS")).alias("captured_at"), F.lit("revisit").alias("kind"), sent.alias("headers"), F.lit(None).cast("string").alias("payload"))
-    return pages.select("url", own.alias("r")).select("url", "r.*").unionByName(pages.select("url", later.alias("r")).select("url", "r.*"))
+    tag = lambda version, weak="": F.concat(F.lit(weak + '"'), digest, F.lit(f'-{version}"'))
+    captures = []
+    for number, kind, hours, version, validator, some in CAPTURES:
+        if kind == "response":
+            payload = F.concat("html", F.lit("" if version == 1 else f"<!--{version}-->"))
+            headers = text("content-type", "text/html", "content-length", F.octet_length(payload).cast("string"), "etag", tag(version), "last-modified", F.concat(F.lit(f"v{version} "), F.col("page_id").cast("string")), "server", "a")
+        else:
+            payload = F.lit(None).cast("string")
+            headers = text("content-length", "0", "connection", "close", "cache-control", "max-age=60")
+            own = {"weak": text("etag", tag(version, "W/")), "date": text("last-modified", F.concat(F.lit(f"v{version} "), F.col("page_id").cast("string")))}
+            headers = F.map_concat(headers, own[validator]) if validator in own else headers
+        record = F.struct((F.col("page_id") * 10 + number).alias("record_id"), (at + F.expr(f"INTERVAL {hours} HOURS")).alias("captured_at"), F.lit(kind).alias("kind"), headers.alias("headers"), payload.alias("payload"))
+        captures.append(F.when(F.expr(some), record))
+    return pages.select("url", F.explode(F.array_compact(F.array(*captures))).alias("r")).select("url", "r.*")
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,20 +198,28 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "target_id", "outcome", F.sha2(F.col("payload"), 256).alias("payload_sha256"), headers.alias("headers"))
 
 
-ORACLE = r"""
+_PARTS = r"'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?'"
+_RECORDS = " UNION ALL ".join(
+    f"SELECT page_id * 10 + {n} AS id, site, moment + {h * 3600} AS moment, {kind == 'response'} AS full, {v} AS version, '{has}' AS has, page_id, html, tag FROM s WHERE {some}" for n, kind, h, v, has, some in CAPTURES
+)
+ORACLE = rf"""
 WITH p AS (
-  SELECT page_id, html, md5(html)[1:16] AS tag,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 1)), '^www\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '/+$', '') AS place,
-    list_sort(list_filter(string_split(substring(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), 2), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) AS args
+  SELECT page_id, html, md5(html)[1:16] AS tag, page_id * 60 AS moment,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, {_PARTS}, 1)), '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(url, {_PARTS}, 2), '/+$', '') AS place,
+    list_sort(list_filter(string_split(substring(regexp_extract(url, {_PARTS}, 3), 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) AS args
   FROM pages),
-s AS (SELECT page_id, html, tag, place || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS site FROM p),
-m AS (SELECT r.page_id, r.tag, (SELECT max(c.page_id) FROM s c WHERE c.site = r.site AND c.page_id * 60 < r.page_id * 60 + 7 * 86400) AS t FROM s r)
-SELECT m.page_id * 2 + 1 AS record_id, m.t * 2 AS target_id, CASE WHEN m.t IS NULL THEN 'no_response' WHEN s.tag = m.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  CASE WHEN s.tag = m.tag THEN sha256(s.html) END AS payload_sha256,
-  CASE WHEN s.tag = m.tag THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(s.html) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/"' || m.tag || '"' || chr(10) || 'server: a' END AS headers
-FROM m LEFT JOIN s ON s.page_id = m.t
+s AS (SELECT page_id, html, tag, moment, place || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS site FROM p),
+r AS ({_RECORDS}),
+t AS (SELECT q.id, arg_max(c.id, (c.moment, c.id)) AS target FROM r q JOIN r c ON c.site = q.site AND c.full AND NOT q.full AND c.moment < q.moment GROUP BY q.id),
+j AS (SELECT q.*, c.id AS target_id, c.html AS stored, c.version AS stored_version, c.tag AS stored_tag, c.page_id AS stored_page,
+    CASE WHEN c.id IS NULL THEN 'no_response' WHEN q.has = 'weak' THEN CASE WHEN q.tag = c.tag AND q.version = c.version THEN 'resolved' ELSE 'mismatch' END
+      WHEN q.has = 'date' THEN CASE WHEN q.page_id = c.page_id AND q.version = c.version THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS outcome
+  FROM r q LEFT JOIN t ON t.id = q.id LEFT JOIN r c ON c.id = t.target WHERE NOT q.full),
+k AS (SELECT *, stored || CASE WHEN stored_version = 1 THEN '' ELSE '<!--' || stored_version || '-->' END AS body FROM j)
+SELECT id AS record_id, target_id, outcome, CASE WHEN outcome = 'resolved' THEN sha256(body) END AS payload_sha256,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(body) || chr(10) || 'content-type: text/html' || chr(10)
+    || CASE WHEN has = 'weak' THEN 'etag: W/"' || tag || '-' || version || '"' ELSE 'etag: "' || stored_tag || '-' || stored_version || '"' END || chr(10) || 'last-modified: v' || stored_version || ' ' || stored_page || chr(10) || 'server: a' END AS headers
+FROM k
 """
 
 QUERIES = {"op7_warc_revisits": op7_warc_revisits}

@@ -383,3 +383,40 @@ def test_top_k_of_huge_products(spark):
         ranked = sorted((-sum(a * b for a, b in zip(e[q], e[c], strict=True)), c) for c in range(len(v)) if c != q)[:5]
         want += [(q, i + 1, c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for i, (s, c) in enumerate(ranked)]
     assert sorted(map(tuple, got)) == want
+
+
+def test_warc_repeats_ties_and_extra_columns(spark, monkeypatch):
+    """Rows that share an id, more revisits of one response than a copy holds, other columns, both orders of rows."""
+    monkeypatch.setattr(warc, "HOT", 7)
+    at = "2024-01-01 00:{:02d}:{:02d}".format
+    rows = [(1, "http://a.com/x", at(0, 0), "response", {"etag": '"1"'}, "one", "n"), (1, "http://a.com/x", at(0, 0), "response", {"etag": '"1"'}, "one", "n"), (1, "http://a.com/x", at(1, 0), "response", {"etag": '"1"'}, "later", "n")]
+    rows += [(100 + i, "http://a.com/x", at(2 + i // 50, i % 50), "revisit", {"etag": '"1"'}, None, "n") for i in range(60)] + [(100, "http://a.com/x", at(2, 0), "revisit", {"etag": '"1"'}, None, "n")]
+    rows += [(500, "http://b.com/", at(3, 0), "response", {"last-modified": "d"}, "b", "n"), (501, "http://b.com/", at(3, 0), "response", {"last-modified": "d"}, "c", "n"), (502, "http://b.com/", at(3, 30), "revisit", {"last-modified": "d"}, None, "n")]
+    want = None
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "record_id bigint, url string, t string, kind string, headers map<string,string>, payload string, copy string").withColumn("captured_at", F.to_timestamp("t")).repartition(3)
+        got = sorted((r["record_id"], r["target_id"], r["outcome"], r["payload"]) for r in warc.resolve(df).collect())
+        assert len(got) == 62 and {g[1:] for g in got if g[0] < 500} == {(1, "resolved", "one")} and got[-1] == (502, 501, "resolved", "c")
+        assert want in (None, got)
+        want = got
+
+
+def test_warc_file(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, uri, date, head, body=b"", profile=""):
+        block = head + b"\r\n\r\n" + body
+        top = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: {date}\r\n" + (f"WARC-Profile: {profile}\r\n" if profile else "")
+        return top.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    same = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    records = [
+        record("warcinfo", "i", "", "2024-01-01T00:00:00Z", b"x: y"),
+        record("response", "a", "http://a.com/", "2024-01-01T00:00:00Z", b'HTTP/1.1 200 OK\r\nETag: "1"\r\nX: old', "h\u00e9llo WARC/1.1\r\n\r\nin the text".encode()),
+        record("revisit", "b", "http://www.a.com", "2024-01-02T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\nETag: W/"1"\r\nX: new', profile=same),
+        record("revisit", "c", "http://a.com/", "2024-01-02T00:00:00Z", b"HTTP/1.1 200 OK", profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:2]))
+    (tmp_path / "two.warc").write_bytes(b"".join(records[2:]))
+    got = warc.resolve(warc.read_warc(spark, str(tmp_path))).collect()
+    assert [(r["record_id"], r["target_id"], r["outcome"], r["payload"], r["headers"]) for r in got] == [("<b>", "<a>", "resolved", "h\u00e9llo WARC/1.1\r\n\r\nin the text", {"etag": 'W/"1"', "x": "new"})]
