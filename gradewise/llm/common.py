@@ -103,7 +103,8 @@ def map_texts(
     """
     added = T.StructType.fromDDL(new)
     keep = others(docs.columns if keep is None else keep, added.names)
-    source = docs.select(*[quoted(c).alias(c) for c in keep], text_bytes(text).alias(fresh("raw", keep)))
+    # mapInArrow asks for its columns by name, which one with a dot can't answer.
+    source = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], text_bytes(text).alias("raw"))
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -6,13 +6,16 @@ hash, and each shard becomes a minimal perfect hash with two arrays in its order
 bits of each hash as fingerprint, and its count. Documents then probe the arrays; lines are never
 joined with lines.
 
-The shards together are broadcast only if they have at most ``BROADCAST_BYTES``. Beyond that,
-slices of documents send the distinct hashes of their lines to the shards (a hot line once for each
-slice), and each text gets the set of its lines to drop by its own 128-bit hash.
+The shards together are broadcast only if they have at most ``BROADCAST_BYTES``. Beyond that, slices
+of documents send the distinct hashes of their lines to the shards (a hot line once for each slice);
+a task reads each of its shards once and streams the questions past it; and the hashes to drop go back
+to the slice by its partition and number, where they are zipped with the documents. Only hashes are
+shuffled, never texts.
 
 Defined results: a null or empty text has one line, which is empty and stays; a key that is shorter
 than ``min_chars`` never drops; repeated rows count as documents; null ids pass through; a text that
-loses every line becomes empty; an empty table gives an empty result.
+loses every line becomes empty; an empty table gives an empty result; other columns pass through, or
+give way to a new column of the same name in any case.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradewise.llm.common import cut, map_arrow, map_texts, table
+from gradewise.llm.common import cut, map_arrow, map_texts, others, quoted, slices, table, text_bytes
 
 MIN_CHARS, MIN_DOCS = 1, 10
 BLANK = b" \t\n\x0b\x0c\r"
@@ -208,50 +214,75 @@ def dedup_lines(
 
         return map_texts(docs, make, new, keep, text)
 
-    def ask() -> Callable:
-        def apply(texts: list[bytes]) -> list:
-            # All questions of the slice stand in its first row; the others have none.
-            each = [np.unique(digests(t.split(b"\n"), min_chars)) for t in texts]
-            keys = np.concatenate(each)
-            owner = np.repeat(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), DIGESTS), list(map(len, each)))
-            shard = shard_of(keys, shards)
-            rows = [{"shard": int(s), "owners": owner[shard == s].tobytes(), "hashes": keys[shard == s].tobytes()} for s in np.unique(shard)]
-            return [[rows if not i else [] for i in range(len(texts))]]
+    kept = others(docs.columns if keep is None else keep, ("n_lines", "n_dropped", "kept"))
+    source = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], text_bytes(text).alias("raw"))
+    return _asked_by_slice(source, index, shards, min_chars, min_docs, outcome, T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL(new).fields))
 
-        return apply
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for owners, hashes, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = np.frombuffer(hashes, DIGESTS)
-                hit = (pickle.loads(blob).counts(keys) >= min_docs) & ((keys["place"] != 0) | (keys["check"] != 0))
-                whose = np.frombuffer(owners, DIGESTS)[hit]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in y], pa.binary()) for y in (whose, keys[hit])], names=["owner", "hash"])
-
-    asked = map_texts(docs, ask, "asked array<struct<shard: bigint, owners: binary, hashes: binary>>", [], text).select(F.inline("asked"))
-    hits = map_arrow(asked.join(index, "shard").select("owners", "hashes", "arrays"), probed, "owner binary, hash binary")
-    drops = hits.groupBy("owner").agg(F.array_join(F.transform(F.collect_set("hash"), F.hex), "").alias("__drop"))
-
-    def own_hash() -> Callable:
-        return lambda texts: [list(map(xxhash.xxh3_128_digest, texts))]
-
-    joined = map_texts(docs, own_hash, "__owner binary", None, text).join(drops, F.col("__owner") == F.col("owner"), "left")
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped", "kept")]
-
-    def rewritten() -> Callable:
-        def apply(pairs: list[bytes]) -> list:
-            texts, drops = [], []
-            for p in pairs:
-                gone, _, raw = p.partition(b"|")
-                wanted = np.frombuffer(bytes.fromhex(gone.decode()), DIGESTS)
-                texts.append(raw)
-                drops.append(np.isin(digests(raw.split(b"\n"), min_chars), wanted))
-            return outcome(texts, drops)
+def _asked_by_slice(source: DataFrame, index: DataFrame, shards: int, min_chars: int, min_docs: int, outcome: Callable, schema: T.StructType) -> DataFrame:
+    """``outcome`` of the rows of ``source``, whose last column is the text, with an index of any size."""
+    spark = source.sparkSession
 
-        return apply
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(pc.binary_length(batch.columns[-1]).to_numpy(zero_copy_only=False)):
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)]).combine_chunks().to_batches()[0]
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["slice"])
+
+    def rows_of(blob: bytes) -> pa.RecordBatch:
+        return next(iter(pa.ipc.open_stream(blob)))
+
+    # One RDD gives the questions and is zipped with the answers: partitions and slices are the same.
+    blobs = map_arrow(source, packed, "slice binary").rdd.map(lambda r: bytes(r[0]))
+
+    def ask(part: int, parts: Iterator[bytes]) -> Iterator[tuple]:
+        for number, blob in enumerate(parts):
+            texts = rows_of(blob).columns[-1].to_pylist()
+            keys = np.unique(digests([x for t in texts for x in t.split(b"\n")], min_chars))
+            shard = shard_of(keys, shards)
+            yield part, number, -1, b""  # so that each slice has an answer
+            for s in np.unique(shard).tolist():
+                yield part, number, s, keys[shard == s].tobytes()
+
+    asked = spark.createDataFrame(blobs.mapPartitionsWithIndex(ask), "part bigint, number bigint, shard bigint, data binary", verifySchema=False)
 
-    both = joined.withColumn("__both", F.concat(F.coalesce("__drop", F.lit("")), F.lit("|"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return map_texts(both, rewritten, new, names, "__both")
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            out: list[tuple] = []
+            for part, number, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part < 0:
+                    held = pickle.loads(data)
+                elif shard < 0:
+                    out.append((part, number, b""))
+                elif held is not None:
+                    keys = np.frombuffer(data, DIGESTS)
+                    hit = (held.counts(keys) >= min_docs) & ((keys["place"] != 0) | (keys["check"] != 0))
+                    out.append((part, number, keys[hit].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "number", "drops"])
+
+    # A shard's arrays come first in its partition, as their part is -1.
+    arrays = index.select(F.lit(-1).cast("bigint").alias("part"), F.lit(-1).cast("bigint").alias("number"), "shard", F.col("arrays").alias("data"))
+    dealt = arrays.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "part", "number")
+    answers = map_arrow(dealt.select("part", "number", "shard", "data"), probed, "part bigint, number bigint, drops binary").rdd
+    back = answers.map(lambda r: ((r[0], r[1]), bytes(r[2]))).repartitionAndSortWithinPartitions(max(1, blobs.getNumPartitions()), lambda k: k[0])
+    each = back.mapPartitions(lambda rows: ((k, b"".join(x for _, x in group)) for k, group in groupby(rows, lambda r: r[0])))
+
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, drops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, wanted = rows_of(blob), np.frombuffer(drops, DIGESTS)
+                texts = rows.columns[-1].to_pylist()
+                made = outcome(texts, [np.isin(digests(t.split(b"\n"), min_chars), wanted) for t in texts])
+                kinds = [pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
+
+    both = spark.createDataFrame(blobs.zip(each).map(lambda x: (x[0], x[1][1])), "slice binary, drops binary", verifySchema=False)
+    return both.mapInArrow(rewritten, schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,3 +420,15 @@ def test_warc_file(spark, tmp_path):
     (tmp_path / "two.warc").write_bytes(b"".join(records[2:]))
     got = warc.resolve(warc.read_warc(spark, str(tmp_path))).collect()
     assert [(r["record_id"], r["target_id"], r["outcome"], r["payload"], r["headers"]) for r in got] == [("<b>", "<a>", "resolved", "h\u00e9llo WARC/1.1\r\n\r\nin the text", {"etag": 'W/"1"', "x": "new"})]
+
+
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+def test_line_dedup_of_other_columns(spark, limit):
+    """Many slices, a text column with a dot, columns named like the operator's own, copies and empty texts."""
+    rows = [(i, "shared\n" + "x" * 1000 + f"{i % 7}\nown {i}" if i % 5 else "", "o", "k", "N") for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "id int, `my.text` string, owner string, `Kept` string, slice string").repartition(5)
+    got = line_dedup.dedup_lines(df, text="my.text", broadcast_bytes=limit)
+    assert got.columns == ["id", "my.text", "owner", "slice", "n_lines", "n_dropped", "kept"]
+    want = dedup([t for _, t, *_ in rows], 10)
+    seen = got.collect()
+    assert len(seen) == 120 and all(r["kept"] == want[r["my.text"]] and r["owner"] == "o" for r in seen)
