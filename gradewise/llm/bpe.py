@@ -4,7 +4,10 @@ Each pre-token has a segment tree whose leaf i holds (rank of the pair that star
 i). The root is therefore the leftmost lowest-rank merge. A merge changes three leaves (its own,
 its left neighbour's, and that of the symbol it swallowed), each updated in a logarithmic number
 of steps, until the root says that no mergeable pair is left. The trees of many pre-tokens of like
-size are rows of one array, so that a step of all of them is a few array operations.
+size are rows of one array, so that a step of all of them is a few array operations. In a pre-token of
+more than ``LONG`` symbols all places of the root's rank are merged at once, from the left, where no
+pair with its product has a lower rank (else the leftmost alone), which gives what one place at a
+time would: a text of one long word takes as many steps as ranks occur in it.
 
 Texts are independent: the job is one narrow pass over the documents, without a shuffle, and a
 task's memory is bounded by its slice of text and by the cache limit.
@@ -34,6 +37,8 @@ CACHE = 150_000
 IDLE = 50_000
 #: Most leaves that are in work at once.
 LEAVES = 1 << 19
+#: Symbols above which a pre-token is merged by ranks.
+LONG = 1024
 NONE = np.int64(1) << 62
 
 
@@ -68,6 +73,11 @@ class Vocabulary:
         self.made = np.array([ids[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
+        # By rank: whether no pair that holds the product comes before it.
+        best = np.full(self.base, len(pairs), np.int64)
+        for part in (keys // self.base, keys % self.base):
+            np.minimum.at(best, part, np.arange(len(pairs)))
+        self.at_once = best[self.made] > np.arange(len(pairs))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; -1 where it has none."""
@@ -83,6 +93,10 @@ def merge(vocabulary: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     for i, p in enumerate(pieces):
         by_size.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(i)
     for size, members in by_size.items():
+        if size > LONG:
+            for i in members:
+                out[i] = _merge_long(vocabulary, pieces[i], size)
+            continue
         step = max(1, LEAVES // size)
         for lo in range(0, len(members), step):
             part = members[lo : lo + step]
@@ -141,6 +155,51 @@ def _merge_rows(v: Vocabulary, pieces: list[bytes], size: int) -> tuple[np.ndarr
     return sym[:, :size][kept], kept.sum(1)
 
 
+def _merge_long(v: Vocabulary, piece: bytes, size: int) -> bytes:
+    """The ids of one long pre-token."""
+    n = len(piece)
+    sym = np.full(size + 1, -1, np.int64)
+    sym[:n] = v.of_byte[np.frombuffer(piece, np.uint8)]
+    at = np.arange(size + 1)
+    after, before = np.where(at + 1 < n, at + 1, size), np.where(at > 0, at - 1, size)
+    tree = np.full(2 * size, NONE, np.int64)
+
+    def leaves(places: np.ndarray) -> None:
+        rank = v.rank(sym[places], sym[after[places]])
+        tree[size + places] = np.where(rank >= 0, rank * size + places, NONE)
+
+    def update(nodes: np.ndarray) -> None:
+        while nodes[0] > 1:
+            nodes = np.unique(nodes >> 1)
+            tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+
+    leaves(at[:n])
+    update(size + at[:size])
+    while tree[1] < NONE:
+        rank = tree[1] // size
+        pos = tree[1:2] % size
+        if v.at_once[rank]:
+            nodes = np.ones(1, np.int64)
+            while nodes[0] < size:  # down to all leaves of the root's rank
+                nodes = (2 * nodes[:, None] + np.arange(2)).ravel()
+                nodes = nodes[tree[nodes] // size == rank]
+            pos = nodes - size
+            # Of places that follow each other every second one, from the first.
+            place = np.arange(len(pos))
+            starts = np.concatenate([[True], after[pos[:-1]] != pos[1:]])
+            pos = pos[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
+        gone = after[pos]
+        right = after[gone]
+        sym[pos], sym[gone] = v.made[rank], -1
+        after[pos], before[right] = right, pos
+        left = before[pos]
+        changed = np.unique(np.concatenate([pos, left[left < size]]))
+        tree[size + gone] = NONE
+        leaves(changed)
+        update(np.unique(np.concatenate([changed, gone])) + size)
+    return sym[:n][sym[:n] >= 0].astype("<u4").tobytes()
+
+
 class Codec:
     """Encodes texts to little-endian unsigned 32-bit ids, and back.
 

@@ -432,3 +432,9 @@ def test_line_dedup_of_other_columns(spark, limit):
     want = dedup([t for _, t, *_ in rows], 10)
     seen = got.collect()
     assert len(seen) == 120 and all(r["kept"] == want[r["my.text"]] and r["owner"] == "o" for r in seen)
+
+
+def test_bpe_of_long_words():
+    rnd, lib, codec = random.Random(11), Tokenizer.from_file(BPE), bpe.Codec(BPE)
+    texts = ["z" * 50_001, "ab" * 20_000 + "a", "".join(rnd.choices("etaoinshr", k=60_000)), "=" * 3001, "".join(rnd.choices("aA", k=5000)), "漢字" * 3000, "the" * 700 + "x" * 1025]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
