@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewise.llm.common import carried, cut, map_arrow, map_texts, quoted, table, unpacked
+from gradewise.llm.common import FEWEST, PART_ROWS, carried, cut, map_arrow, map_texts, quoted, table, unpacked
 
 WORDS = 3
 SEED = 42
@@ -43,6 +43,8 @@ SEGMENTS = (22, 21, 21)
 PAIRWISE = 48
 #: Most ids of dropped documents that are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Edges that a task makes stars of at once.
+EDGES = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -151,22 +153,51 @@ def links(fps: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, "a bigint, b bigint").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, in bounded parts, as stars: each node of a part's component with the smallest one."""
+    held, size = [], 0
+
+    def stars() -> pa.RecordBatch:
+        ends = np.concatenate([np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in held], axis=1)
+        nodes, at = np.unique(ends, return_inverse=True)
+        (u, v), label, before = at.reshape(2, -1), np.arange(len(nodes)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            least = np.minimum(label[u], label[v])
+            np.minimum.at(label, u, least)
+            np.minimum.at(label, v, least)
+            label = label[label]
+        some = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= EDGES:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
 
-    Large stars and small stars by turns: each node links its larger (then its smaller) neighbours
-    to the smallest one, until nothing changes, which a number of rounds in the order of the square
-    of the logarithm of the nodes brings about. Edges never grow in number. A node with very many
-    neighbours is one key of the join on ``u``, whose other side has one row for it, so that
-    adaptive execution splits it.
+    Each round first makes stars of the edges of each task. Then come large stars and small stars: each
+    node links its larger (then its smaller) neighbours to the smallest one. Rounds go on until nothing
+    changes, which a number in the order of the square of the logarithm of the nodes brings about. Edges
+    never grow in number. A node with very many neighbours is one key of the join on ``u``, whose
+    other side has one row for it, so that adaptive execution splits it.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    n = now.count()
-    seen, before = n, None
+    n, before = now.count(), None
+    seen = n
     while seen and seen != before:
+        now = cut(map_arrow(now.coalesce(max(FEWEST, n // PART_ROWS)), _forest, "u bigint, v bigint").distinct(), n)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), 2 * n)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = cut(large, 2 * n)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         now, before = cut(star, 2 * n), seen
