@@ -438,3 +438,54 @@ def test_bpe_of_long_words():
     rnd, lib, codec = random.Random(11), Tokenizer.from_file(BPE), bpe.Codec(BPE)
     texts = ["z" * 50_001, "ab" * 20_000 + "a", "".join(rnd.choices("etaoinshr", k=60_000)), "=" * 3001, "".join(rnd.choices("aA", k=5000)), "漢字" * 3000, "the" * 700 + "x" * 1025]
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_fingerprint_against_plain_form():
+    """Each bit by counting over all shingles, repeats included."""
+    for text in [t or "" for t in TEXTS[:11]] + WORDS + ["A b C d", "x", "a a a a a a", "É é É é\tB\x0bb"]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles[:3000]]
+        if len(shingles) > 3000:
+            continue
+        want = sum(1 << bit for bit in range(64) if sum(x >> bit & 1 for x in h) * 2 > len(h))
+        assert simhash.fingerprint(text.encode()) == want
+
+
+def test_bm25_and_greedy_fill():
+    """Scores by the formula for common, frequent and rare terms, and windows by a plain greedy fill."""
+    rnd = np.random.default_rng(3)
+    docs = [rnd.choice(40, rnd.integers(5, 60), p=np.arange(1, 41)[::-1] / 820) for _ in range(30)]
+    terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+    known, df = np.unique(np.concatenate(terms), return_counts=True)
+    n, mean, df = 500, 31.0, df * 7
+    index = packing.Shard(list(terms), list(counts), (n, mean, known, df))
+    idf = dict(zip(known.tolist(), np.log1p((n - df + 0.5) / (df + 0.5)), strict=True))
+    local = Counter(t for ts in terms for t in ts.tolist())
+    for seed in range(30):
+        want = np.zeros(30)
+        for d in range(30):
+            tf = dict(zip(terms[d].tolist(), counts[d].tolist(), strict=True))
+            for t in terms[seed].tolist():
+                if t in tf and local[t] > 1:
+                    want[d] += idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
+        assert np.allclose(index.scores(seed), want)
+    left, got = [len(d) for d in docs], packing.fill_windows([len(d) for d in docs], index, 64)
+    begin = [0] * 30
+    for pieces in got:
+        seed = next(d for d in range(30) if left[d])
+        room, want = 64, []
+
+        def take(d, k):
+            nonlocal room
+            want.append((d, begin[d], k))
+            begin[d], left[d], room = begin[d] + k, left[d] - k, room - k
+
+        take(seed, min(left[seed], room))
+        order = sorted((d for d in range(30) if left[d]), key=lambda d: (-index.scores(seed)[d], d))
+        for whole in (True, False):
+            for d in order:
+                if room and left[d] and (left[d] <= room or not whole):
+                    take(d, min(left[d], room))
+        assert pieces == want
+    assert not any(left)
