@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,22 +87,22 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     revisits = records.where(F.col("kind") == "revisit").select("record_id", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("sent"))
     responses = records.where(F.col("kind") == "response").select(F.col("record_id").alias("target_id"), "captured_at", "url", "headers", "payload")
-    rank = F.struct("captured_at", "url", F.xxhash64("payload"))
-    stored = responses.groupBy("target_id").agg(F.min_by("headers", rank).alias("stored"), F.count("*").alias("n"), F.min(rank).alias("first"))
+    if not responses.groupBy("target_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Of responses that share an id one counts; what is equal in time, URL and payload is one.
+        rank = F.struct("captured_at", "url", F.xxhash64("payload"))
+        first = responses.groupBy("target_id").agg(F.min(rank).alias("first"))
+        responses = responses.join(first, "target_id").where(rank == F.col("first")).drop("first").dropDuplicates(["target_id"])
+    stored = responses.select("target_id", F.col("headers").alias("stored"))
     found = revisits.join(latest_earlier(records).dropDuplicates(["record_id"]), "record_id", "left").join(stored, "target_id", "left")
     etags, dates = ([F.col(side)[name] for side in ("sent", "stored")] for name in ("etag", "last-modified"))
     agree = F.coalesce(_tag(etags[0]) == _tag(etags[1]), dates[0] == dates[1])
     outcome = F.when(F.col("target_id").isNull(), "no_response").when(agree, "resolved").when(~agree, "mismatch").otherwise("no_validator")
     permitted = F.map_filter("sent", lambda k, _: ~k.isin(*KEPT_FROM_STORED))
     merged = F.map_concat(F.map_filter("stored", lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
-    judged = cut(found.select("record_id", "target_id", outcome.alias("outcome"), merged.alias("merged"), "n", "first"))
+    judged = cut(found.select("record_id", "target_id", outcome.alias("outcome"), merged.alias("merged")))
     good = judged.where("outcome = 'resolved'")
-    shares = good.groupBy("target_id").agg((F.floor(F.count("*") / HOT) + 1).alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"))
-    once = responses.join(shares, "target_id").where((F.col("n") == 1) | (rank == F.col("first"))).select("target_id", "copies", "n", "payload")
-    # Responses that share id, time, URL and payload are one.
-    several = not stored.where("n > 1").isEmpty()
-    once = once.where("n = 1").unionByName(once.where("n > 1").dropDuplicates(["target_id"])) if several else once
-    payloads = once.select("target_id", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), "payload")
+    shares = good.groupBy("target_id").agg((F.floor(F.count("*") / HOT) + 1).alias("copies"))
+    payloads = responses.join(shares, "target_id").select("target_id", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), "payload")
     hot = shares.where("copies > 1").select("target_id", "copies")
     dealt = good.join(hot, "target_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id"), F.coalesce("copies", F.lit(1))).cast("int"))
     resolved = dealt.join(payloads, ["target_id", "copy"], "left").select("record_id", "target_id", "outcome", "payload", F.col("merged").alias("headers"))
@@ -173,23 +174,26 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     """A crawl's records, with a history for each page, pages a minute apart: a full response, revisits
     before it, a week later, and after the page has changed on some, with a strong or weak tag, a date
     alone, or no validator, and a response at the very moment of a revisit."""
-    digest = F.substring(F.md5(F.col("html")), 1, 16)
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 60)
+    # Only the number of a capture is exploded, so that a scan that needs ids and times reads no text.
+    k = F.explode(F.array_compact(F.array(*[F.when(F.expr(some), F.lit(number)) for number, *_, some in CAPTURES])))
+    rows = pages.select("page_id", "url", "html", k.alias("k"))
+
+    def by_capture(value) -> Column:
+        return reduce(lambda rest, c: F.when(F.col("k") == c[0], value(*c[1:5])).otherwise(rest), CAPTURES[1:], value(*CAPTURES[0][1:5]))
+
+    digest, page = F.substring(F.md5(F.col("html")), 1, 16), F.col("page_id").cast("string")
     text = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
-    tag = lambda version, weak="": F.concat(F.lit(weak + '"'), digest, F.lit(f'-{version}"'))
-    captures = []
-    for number, kind, hours, version, validator, some in CAPTURES:
-        if kind == "response":
-            payload = F.concat("html", F.lit("" if version == 1 else f"<!--{version}-->"))
-            headers = text("content-type", "text/html", "content-length", F.octet_length(payload).cast("string"), "etag", tag(version), "last-modified", F.concat(F.lit(f"v{version} "), F.col("page_id").cast("string")), "server", "a")
-        else:
-            payload = F.lit(None).cast("string")
-            headers = text("content-length", "0", "connection", "close", "cache-control", "max-age=60")
-            own = {"weak": text("etag", tag(version, "W/")), "date": text("last-modified", F.concat(F.lit(f"v{version} "), F.col("page_id").cast("string")))}
-            headers = F.map_concat(headers, own[validator]) if validator in own else headers
-        record = F.struct((F.col("page_id") * 10 + number).alias("record_id"), (at + F.expr(f"INTERVAL {hours} HOURS")).alias("captured_at"), F.lit(kind).alias("kind"), headers.alias("headers"), payload.alias("payload"))
-        captures.append(F.when(F.expr(some), record))
-    return pages.select("url", F.explode(F.array_compact(F.array(*captures))).alias("r")).select("url", "r.*")
+    version = by_capture(lambda kind, hours, v, validator: F.lit(v))
+    mark = F.when(version == 1, "").otherwise(F.concat(F.lit("<!--"), version.cast("string"), F.lit("-->")))
+    tag = F.concat(F.lit('"'), digest, F.lit("-"), version.cast("string"), F.lit('"'))
+    date = F.concat(F.lit("v"), version.cast("string"), F.lit(" "), page)
+    full = text("content-type", "text/html", "content-length", (F.octet_length("html") + F.octet_length(mark)).cast("string"), "etag", tag, "last-modified", date, "server", "a")
+    asks = {"weak": text("etag", F.concat(F.lit("W/"), tag)), "date": text("last-modified", date), "none": F.create_map().cast("map<string,string>")}
+    has = by_capture(lambda kind, hours, v, validator: F.lit(validator))
+    sent = F.map_concat(text("content-length", "0", "connection", "close", "cache-control", "max-age=60"), F.when(has == "weak", asks["weak"]).when(has == "date", asks["date"]).otherwise(asks["none"]))
+    kind = by_capture(lambda kind, hours, v, validator: F.lit(kind))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 60 + by_capture(lambda kind, hours, v, validator: F.lit(hours)) * 3600)
+    return rows.select("url", (F.col("page_id") * 10 + F.col("k")).alias("record_id"), at.alias("captured_at"), kind.alias("kind"), F.when(kind == "response", full).otherwise(sent).alias("headers"), F.when(kind == "response", F.concat("html", mark)).alias("payload"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
