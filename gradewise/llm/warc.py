@@ -35,6 +35,8 @@ from gradewise.llm.common import cut, table
 SPANS = (60, 24 * 3600)
 #: Revisits of one response that share a copy of its payload.
 HOT = 10_000
+#: Most targets of more than that which are broadcast.
+BROADCAST_TARGETS = 1_000_000
 #: Query parameters that don't change what a URL gives.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
 #: Headers of a not-modified response that say nothing about the stored one.
@@ -101,9 +103,11 @@ def resolve(records: DataFrame) -> DataFrame:
     merged = F.map_concat(F.map_filter("stored", lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
     judged = cut(found.select("record_id", "target_id", outcome.alias("outcome"), merged.alias("merged")))
     good = judged.where("outcome = 'resolved'")
-    shares = good.groupBy("target_id").agg((F.floor(F.count("*") / HOT) + 1).alias("copies"))
-    payloads = responses.join(shares, "target_id").select("target_id", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), "payload")
-    hot = shares.where("copies > 1").select("target_id", "copies")
+    hot = cut(good.groupBy("target_id").agg((F.floor(F.count("*") / HOT) + 1).alias("copies")).where("copies > 1"))
+    # Where the hot targets are few enough to be sent along, payloads are shuffled once.
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_TARGETS else hot
+    copies = F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)
+    payloads = responses.select("target_id", "payload").join(hot, "target_id", "left").select("target_id", F.explode(copies).alias("copy"), "payload")
     dealt = good.join(hot, "target_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id"), F.coalesce("copies", F.lit(1))).cast("int"))
     resolved = dealt.join(payloads, ["target_id", "copy"], "left").select("record_id", "target_id", "outcome", "payload", F.col("merged").alias("headers"))
     none = judged.where("outcome <> 'resolved'").select("record_id", "target_id", "outcome", F.lit(None).cast(records.schema["payload"].dataType).alias("payload"), F.lit(None).cast("map<string,string>").alias("headers"))
