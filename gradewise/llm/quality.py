@@ -151,7 +151,7 @@ f AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {rule} THEN '{name}' END" fo
 rates AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE list_contains(failed, rule)) AS k FROM f, (VALUES {", ".join(f"('{name}')" for name in RULES)}) AS x(rule) GROUP BY source, rule),
 moments AS (SELECT rule, sum(k) / sum(n) AS m, coalesce(var_samp(k / n), 0) - sum(k) / sum(n) * (1 - sum(k) / sum(n)) * avg(1 / n) AS v FROM rates GROUP BY rule),
 prior AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest({STRENGTH[0]}, least({STRENGTH[1]}, m * (1 - m) / v - 1)) ELSE {STRENGTH[1]} END AS s FROM moments),
-bad AS (SELECT DISTINCT source FROM rates JOIN prior USING (rule) WHERE (k + m * s) / (n + s) > greatest({HOST_RATES[0]}, CASE WHEN m < {HOST_RATES[1]} THEN least({HOST_RATES[1]}, m + {DEVIATIONS} * sqrt(m * (1 - m) / (s + 1))) ELSE m + {DEVIATIONS} * sqrt(m * (1 - m) / (s + 1)) END)
+bad AS (SELECT DISTINCT source FROM rates JOIN prior USING (rule) WHERE (k + m * s) / (n + s) > greatest({HOST_RATES[0]}, CASE WHEN m < {HOST_RATES[1]} THEN least({HOST_RATES[1]}, m + {DEVIATIONS} * sqrt(m * (1 - m) / (s + 1))) ELSE m + {DEVIATIONS} * sqrt(m * (1 - m) / (s + 1)) END))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_lines AS BIGINT) AS n_lines,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, array_to_string(failed, ',') AS failed_rules,
   len(list_intersect(failed, ['few_words', 'repeats'])) > 0 AS base_failed, len(list_intersect(failed, ['few_words', 'repeats'])) = 0 AND b.hit IS NULL AS kept
