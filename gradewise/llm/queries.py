@@ -1,8 +1,8 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from gradewise.llm import bpe, infill, license_scan, line_dedup, packing, piece_codec, quality, secret_scan, simhash, token_counts, top_k, warc
+from gradewise.llm import bpe, collocations, infill, license_scan, line_dedup, packing, piece_codec, quality, secret_scan, simhash, token_counts, top_k, warc
 
-MODULES = (license_scan, top_k, token_counts, line_dedup, simhash, secret_scan, warc, quality, packing, bpe, piece_codec, infill)
+MODULES = (license_scan, top_k, token_counts, line_dedup, simhash, secret_scan, warc, quality, packing, bpe, collocations, piece_codec, infill)
 
 
 def queries() -> dict:
