@@ -7,17 +7,19 @@ where a rarer word, a word below the threshold or a piece's edge stands. Fragmen
 tasks, packed by pivot, and routed to the pivot's partition, where the n-grams over the pivot
 are mined locally, by prefix growth from the pivot outwards; no n-gram of another pivot is made.
 
-The order is a dictionary of the most frequent words of at most ``DICTIONARY`` entries. A word
-outside it counts as rarer than all in it, in the order of a checksum; where the dictionary holds
-all words of the threshold, others can be in no result and cut fragments. So the broadcast is
-bounded, and results are the same for any bound.
-
-A pivot of more than ``HOT`` occurrences is dealt over several partitions by its fragments. A
-partition mines one chunk of a pivot's fragments at a time. Counts from a chunk that is all of its
-pivot are final and cut at the threshold; those of others are partial and summed by phrase, in a
-shuffle that final counts pass as they are. Counts of words are joined to cuts of phrases by key,
-with large keys split by adaptive execution. The top of each language is ranked in buckets of
-phrases first, so no task sees all phrases of a language.
+The order is a dictionary of the most frequent words of at most ``DICTIONARY`` entries, in which each
+word is one character, so a text is a string of a character a word and fragments are slices of it. A
+word outside it counts as rarer than all in it, in the order of a checksum, and its fragments are
+texts; where the dictionary holds all words of the threshold, others can be in no result and cut
+fragments. So the broadcast is bounded, and results are the same for any bound.
+
+A pivot of more than ``HOT`` occurrences is dealt over several partitions: by its left neighbour for
+the n-grams that have one, by its right neighbour for the others, so an n-gram is still counted in
+one place. Should a partition's fragments of a pivot exceed a chunk all the same, the n-grams of
+each chunk are partial counts, summed by phrase in a shuffle that final counts pass as they are.
+Counts of words are joined to cuts of phrases by key, with large keys split by adaptive execution.
+The top of each language is ranked in buckets of phrases first, so no task sees all phrases of a
+language.
 
 Defined results: null texts are empty; null languages are ``und``; rows repeat freely (ids play no
 part); an empty table gives an empty result; of extra columns none is read. Words are compared as
@@ -29,7 +31,9 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +47,19 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 DICTIONARY = 400_000
 #: Occurrences of a pivot above which it is dealt over partitions.
 HOT = 1 << 16
-#: Fragments of a pivot that are mined at once.
-CHUNK = 200_000
+#: Different fragments of a pivot that are mined at once.
+CHUNK = 400_000
 #: Buckets in which each language's phrases are ranked first.
 BUCKETS = 64
 UNKNOWN = "und"
-#: Rare words stand above all ranks of the dictionary, and what cuts a fragment above all words.
+#: Rare words stand above all characters of the dictionary, and what cuts a fragment above all words.
 RARE, CUT = 1 << 40, 1 << 60
+#: The character of what cuts a fragment; it also parts packed fragments.
+EDGE = "\0"
+SURROGATES = 0xD800, 0x800
+#: Which n-grams of a hot pivot a row is for.
+ALL, WITH_LEFT, WITHOUT_LEFT = range(3)
+FRAGMENTS = "lang string, pivot string, rare boolean, side int, share int, packed string, weights array<bigint>"
 
 #: A-Z in lower case, tabs as spaces, and each separator as a full stop, which no word has.
 _NORMAL = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,28 +101,38 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return counted.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
+def character(rank: int) -> str:
+    return chr(rank + 1 if rank + 1 < SURROGATES[0] else rank + 1 + SURROGATES[1])
+
+
 class Order:
     """The broadcast order of words: a bounded dictionary of the most frequent ones."""
 
     def __init__(self, rows: list, complete: bool):
         self.complete = complete
-        self.rank: dict[str, dict[bytes, int]] = {}
-        self.shares: dict[str, dict[bytes, int]] = {}
-        for i, r in enumerate(rows):
-            word = r["word"].encode()
-            self.rank.setdefault(r["lang"], {})[word] = i
+        #: By language, words by falling frequency, and the shares of those that are hot.
+        self.words: dict[str, list[str]] = {}
+        self.shares: dict[str, list[int]] = {}
+        for r in rows:
+            self.words.setdefault(r["lang"], []).append(r["word"])
             if r["f"] > HOT:
-                self.shares.setdefault(r["lang"], {})[word] = -(-r["f"] // HOT)
+                self.shares.setdefault(r["lang"], []).append(-(-r["f"] // HOT))
         #: Of a word outside the dictionary, at most.
         self.rare_shares = 1 if complete or not rows else -(-rows[-1]["f"] // HOT)
+        self._characters: dict[str, dict[bytes, str]] = {}
+
+    def characters(self, lang: str) -> dict[bytes, str]:
+        if lang not in self._characters:
+            self._characters[lang] = {w.encode(): character(i) for i, w in enumerate(self.words.get(lang, []))}
+        return self._characters[lang]
+
+    def share(self, lang: str) -> dict[str, int]:
+        return {character(i): n for i, n in enumerate(self.shares.get(lang, []))}
 
-    def of(self, lang: str, words: list[bytes]) -> dict[bytes, int]:
-        """The place in the order of each different word; ``CUT`` for what is in no result."""
-        known, complete, out = self.rank.get(lang, {}), self.complete, {b".": CUT}
-        for w in set(words):
-            at = known.get(w)
-            out[w] = at if at is not None else CUT if complete or w == b"." else RARE + zlib.crc32(w)
-        return out
+    def spelled(self, lang: str, text: str) -> list[str]:
+        """The words of a string of a character a word."""
+        words = self.words[lang]
+        return [words[c - 1 if c < SURROGATES[0] else c - 1 - SURROGATES[1]] for c in map(ord, text)]
 
 
 def order_of(words: DataFrame, least: int = LEAST, most: int = DICTIONARY) -> Order:
@@ -130,142 +150,191 @@ def order_of(words: DataFrame, least: int = LEAST, most: int = DICTIONARY) -> Or
     return Order(rows, held == sum(levels.values()))
 
 
-def _fragments(words: list[bytes], order: dict[bytes, int], longest: int) -> dict[bytes, Counter]:
-    """Fragments by pivot: left neighbours, a full stop, right neighbours, as one text with its count."""
-    around = longest - 1
-    at = [CUT] * around + list(map(order.__getitem__, words)) + [CUT] * around
+def _near(text: str, longest: int) -> Iterator[tuple[str, Counter]]:
+    """Each pivot of a string of a character a word, with the fragments over it."""
+    around, n = longest - 1, len(text)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.full(n + 2 * around, CUT)
+    at[around : around + n] = np.where(codes == 0, CUT, codes)
+    reach = []
+    for before in (True, False):
+        on, count = codes > 0, np.zeros(n, np.int64)
+        for d in range(1, around + 1):
+            on = on & (at[around - d : around - d + n] < codes if before else at[around + d : around + d + n] <= codes)
+            count += on
+        reach.append(count)
+    pos = np.flatnonzero(reach[0] + reach[1])
+    pos = pos[np.argsort(codes[pos], kind="stable")]
+    starts = [*np.flatnonzero(np.diff(codes[pos], prepend=-1)).tolist(), len(pos)]
+    lo, hi = (pos - reach[0][pos]).tolist(), (pos + reach[1][pos] + 1).tolist()
+    for s, e in zip(starts, starts[1:], strict=False):
+        yield text[pos[s]], Counter([text[a:b] for a, b in zip(lo[s:e], hi[s:e], strict=True)])
+
+
+def _near_rare(words: list[bytes], known: dict[bytes, str], longest: int) -> dict[str, Counter]:
+    """Fragments over words outside the dictionary: (words before, words after), as tuples."""
+    around, place = longest - 1, {b".": CUT}
+    for w in set(words) - {b"."}:
+        place[w] = ord(known[w]) if w in known else RARE + zlib.crc32(w)
+    at = [CUT] * around + list(map(place.__getitem__, words)) + [CUT] * around
     words = [b"."] * around + words
-    out: dict[bytes, Counter] = {}
+    out: dict[str, Counter] = {}
     for i in range(around, len(words)):
         own = at[i]
-        if own == CUT or (at[i - 1] >= own and at[i + 1] > own):
+        if not RARE <= own < CUT:
             continue
         lo, hi = i, i + 1
         while i - lo < around and at[lo - 1] < own:
             lo -= 1
         while hi - i <= around and at[hi] <= own:
             hi += 1
-        found = out.get(words[i])
-        if found is None:
-            found = out[words[i]] = Counter()
-        found[b" ".join([*words[lo:i], b".", *words[i + 1 : hi]])] += 1
+        if hi - lo > 1:
+            spelled = [w.decode() for w in words[lo:hi]]
+            out.setdefault(spelled[i - lo], Counter())[tuple(spelled[: i - lo]), tuple(spelled[i - lo + 1 :])] += 1
     return out
 
 
+def _dealt(pivot: str, found: Counter, shares: int) -> Iterator[tuple[int, int, dict]]:
+    """(side, share, fragments) of a pivot's fragments, given as (before, after)."""
+    if shares == 1:
+        yield ALL, 0, found
+        return
+    parts: dict[tuple[int, int], Counter] = {}
+    of = lambda x: zlib.crc32(x.encode()) % shares
+    for (a, b), c in found.items():
+        if a:
+            parts.setdefault((WITH_LEFT, of(a[-1])), Counter())[a, b] += c
+        if b:
+            parts.setdefault((WITHOUT_LEFT, of(b[0])), Counter())[b[:0], b] += c
+    for (side, share), part in parts.items():
+        yield side, share, part
+
+
 def fragments(docs: DataFrame, order, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, pivot, share, n, packed, weights): rewritten fragments of a slice of texts, by pivot."""
+    """``FRAGMENTS``: the rewritten fragments of a slice of texts, by pivot. Those that occur more
+    than once come first, as the weights are theirs."""
+
+    def row(name: str, pivot: str, rare: bool, side: int, share: int, found: dict[str, int]) -> tuple:
+        many = {x: c for x, c in found.items() if c > 1}
+        return name, pivot, rare, side, share, EDGE.join([*many, *(x for x, c in found.items() if c == 1)]), list(many.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Order = order.value
+        kinds = pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())
+        names = ["lang", "pivot", "rare", "side", "share", "packed", "weights"]
         for spoken in _by_language(batches):
             for name, words in spoken:
-                shares = known.shares.get(name, {})
-                rows: list[tuple] = []
-                for pivot, found in _fragments(words, known.of(name, words), longest).items():
-                    n = shares.get(pivot, 1) if known.complete or pivot in known.rank.get(name, {}) else known.rare_shares
-                    parts: list[dict] = [{} for _ in range(n)]
-                    if n == 1:
-                        parts[0] = found
-                    else:
-                        for x, c in found.items():
-                            parts[zlib.crc32(x) % n][x] = c
-                    rows += [(name, pivot.decode(), i, n, b"\n".join(p), list(p.values())) for i, p in enumerate(parts) if p]
-                kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+                characters, shares, rows = known.characters(name), known.share(name), []
+                for pivot, found in _near("".join(map(characters.get, words, repeat(EDGE))), longest):
+                    if pivot not in shares:
+                        rows.append(row(name, pivot, False, ALL, 0, found))
+                        continue
+                    cut_at = {(a, b): c for x, c in found.items() for a, _, b in [x.partition(pivot)]}
+                    for side, share, part in _dealt(pivot, cut_at, shares[pivot]):
+                        rows.append(row(name, pivot, False, side, share, {a + pivot + b: c for (a, b), c in part.items()}))
+                if not known.complete:
+                    for pivot, found in _near_rare(words, characters, longest).items():
+                        for side, share, part in _dealt(pivot, found, known.rare_shares):
+                            rows.append(row(name, pivot, True, side, share, {" ".join([*a, ".", *b]): c for (a, b), c in part.items()}))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "pivot", "share", "n", "packed", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return map_arrow(_spoken(docs, text, lang), run, "lang string, pivot string, share int, n int, packed binary, weights array<bigint>")
+    return map_arrow(_spoken(docs, text, lang), run, FRAGMENTS)
 
 
-def _mined(pivot: bytes, rows: list[tuple[list[bytes], list[bytes], int]], least: int, longest: int) -> Iterator[tuple[bytes, int]]:
-    """The n-grams over the pivot with at least ``least`` occurrences. A shape has so many words
-    left and right of the pivot; what it counts was frequent without its outermost word of
-    either side."""
+def _mined(rows: list[tuple], side: int, least: int, longest: int) -> Iterator[tuple]:
+    """(before, after, count) of the n-grams over a pivot with at least ``least`` occurrences. ``rows``
+    are (before, after, weight), as strings or tuples. A shape has so many words before and after
+    the pivot; a row goes on to a shape if it was frequent without its outermost word of either side."""
     if sum(r[2] for r in rows) < least:
         return
-    frequent: dict[tuple[int, int], tuple[set, list]] = {(0, 0): ({b""}, rows)}
+    frequent: dict[tuple[int, int], tuple[set, list]] = {}
     for size in range(1, longest):
-        for left in range(size + 1):
+        for left in range(side == WITH_LEFT, 1 if side == WITHOUT_LEFT else size + 1):
             right = size - left
-            inner = frequent.get((left, right - 1)) if right else None
-            outer = frequent.get((left - 1, right)) if left else None
-            if (right and not inner) or (left and not outer):
+            needs_inner = right and size > 1
+            needs_outer = left and size > 1 and not (side == WITH_LEFT and left == 1)
+            inner, outer = frequent.get((left, right - 1)), frequent.get((left - 1, right))
+            if (needs_inner and not inner) or (needs_outer and not outer):
                 continue
-            alive, counts, kept = (inner or outer)[1], Counter(), []
-            for row in alive:
+            counts, kept = Counter(), []
+            for row in inner[1] if needs_inner else outer[1] if needs_outer else rows:
                 a, b, weight = row
                 if len(a) < left or len(b) < right:
                     continue
-                own, after = a[len(a) - left :], b[:right]
-                if right and left:
-                    if _gram(own, after[:-1]) not in inner[0] or _gram(own[1:], after) not in outer[0]:
-                        continue
-                elif size > 1 and _gram(own[1:] if left else own, after[:-1] if right else after) not in (inner or outer)[0]:
+                gram = a[len(a) - left :] + b[:right]
+                if (needs_inner and gram[:-1] not in inner[0]) or (needs_outer and gram[1:] not in outer[0]):
                     continue
-                counts[_gram(own, after)] += weight
+                counts[gram] += weight
                 kept.append(row)
             some = {g for g, c in counts.items() if c >= least}
             if some:
                 frequent[left, right] = some, kept
                 for g in some:
-                    a, b = g.split(b".")
-                    yield b" ".join(x for x in (a.strip(), pivot, b.strip()) if x), counts[g]
+                    yield g[:left], g[left:], counts[g]
 
 
-def _gram(left: list[bytes], right: list[bytes]) -> bytes:
-    return b" ".join(left) + b"." + b" ".join(right)
-
-
-def _every(pivot: bytes, rows: list[tuple[list[bytes], list[bytes], int]], longest: int) -> Counter:
+def _every(rows: list[tuple], side: int, longest: int) -> Iterator[tuple]:
     """All n-grams over the pivot, with their occurrences in these fragments."""
     counts: Counter = Counter()
     for a, b, weight in rows:
-        for left in range(len(a) + 1):
+        for left in range(side == WITH_LEFT, len(a) + 1):
             for right in range(min(len(b), longest - 1 - left) + 1):
                 if left or right:
-                    counts[b" ".join([*a[len(a) - left :], pivot, *b[:right]])] += weight
-    return counts
+                    counts[a[len(a) - left :], b[:right]] += weight
+    for (a, b), c in counts.items():
+        yield a, b, c
 
 
-def phrase_counts(packed: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """(lang, phrase, a): phrases of 2 words and more with at least ``least`` occurrences."""
+def phrase_counts(packed: DataFrame, order, least: int = LEAST, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, a): phrases of 2 words and more with at least ``least`` occurrences, of the
+    rows of ``fragments``."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(lang, pivot, fragments, whether these are all of the pivot)"""
-        key, rows, whole = None, [], True
+        """(key, fragments, whether these are all of the key)"""
+        key, found, whole = None, Counter(), True
         for batch in batches:
-            for lang, pivot, share, n, text, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (lang, pivot, share):
-                    if rows:
-                        yield key[0], key[1], rows, whole
-                    key, rows, whole = (lang, pivot, share), [], n == 1
-                for x, weight in zip(text.split(b"\n"), weights, strict=True):
-                    a, b = x.split(b".")
-                    rows.append((a.split(), b.split(), weight))
-                    if len(rows) >= chunk:
-                        whole = False  # more may follow
-                        yield key[0], key[1], rows, whole
-                        rows = []
-        if rows:
-            yield key[0], key[1], rows, whole
+            *keys, texts, weights = (c.to_pylist() for c in batch.columns)
+            for at, text, some in zip(zip(*keys, strict=True), texts, weights, strict=True):
+                if key != at:
+                    if found:
+                        yield key, found, whole
+                    key, found, whole = at, Counter(), True
+                parts = text.split(EDGE)
+                for x, weight in zip(parts, some, strict=False):
+                    found[x] += weight
+                found.update(parts[len(some) :])
+                if len(found) >= chunk:
+                    whole = False  # more may follow
+                    yield key, found, whole
+                    found = Counter()
+        if found:
+            yield key, found, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Order = order.value
         held: list[tuple] = []
-        for lang, pivot, rows, whole in chunks(batches):
-            word = pivot.encode()
-            found = _mined(word, rows, least, longest) if whole else _every(word, rows, longest).items()
-            held += [(lang, g.decode(), c) for g, c in found]
-            if len(held) > 10_000:
-                yield batch_of(held)
-                held = []
+        for (lang, pivot, rare, side, _), found, whole in chunks(batches):
+            if rare:
+                split = ((x.split(" "), c) for x, c in found.items())
+                rows = [(tuple(w[: w.index(".")]), tuple(w[w.index(".") + 1 :]), c) for w, c in split]
+                phrase = lambda a, b: " ".join([*a, pivot, *b])  # noqa: B023, E731
+            else:
+                rows = [(a, b, c) for x, c in found.items() for a, _, b in [x.partition(pivot)]]
+                phrase = lambda a, b: " ".join(known.spelled(lang, a + pivot + b))  # noqa: B023, E731
+            for a, b, c in _mined(rows, side, least, longest) if whole else _every(rows, side, longest):
+                held.append((lang, phrase(a, b), c))
+                if len(held) == 10_000:
+                    yield batch_of(held)
+                    held = []
         yield batch_of(held)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "a"])
 
-    routed = packed.repartition("lang", "pivot", "share").sortWithinPartitions("lang", "pivot", "share")
-    mined = map_arrow(routed, run, "lang string, phrase string, a bigint")
+    key = ["lang", "pivot", "rare", "side", "share"]
+    mined = map_arrow(packed.repartition(*key).sortWithinPartitions(*key), run, "lang string, phrase string, a bigint")
     return mined.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -323,7 +392,7 @@ def collocations(
     words = cut(word_counts(docs, text, lang))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     order = docs.sparkSession.sparkContext.broadcast(order_of(words, least, dictionary))
-    phrases = cut(phrase_counts(fragments(docs, order, longest, text, lang), least, longest, chunk))
+    phrases = cut(phrase_counts(fragments(docs, order, longest, text, lang), order, least, longest, chunk))
     order.destroy()
     return ranked(scored(phrases, words.where(F.col("f") >= least), totals, percent), most)
 

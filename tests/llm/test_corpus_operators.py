@@ -1,0 +1,158 @@
+"""The codec of pieces, the infill rearrangement and collocations against plain forms, and the SQL of
+each operator that has one."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from gradewise.llm import collocations, infill, piece_codec, queries
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RND = random.Random(8)
+TEXTS = [None, "", " ", "\n\n", "a", "  two  spaces \t\n x ", "<s>x</s> <unk> <0x41>", "▁x▁ y", "word " * 20000, "z" * 3000, "é漢\U0001F600\x00", " " * 70 + "x", "<P>no<S>", "x<M"]
+TEXTS += ["".join(RND.choice(["a", "Bc", "é", "漢", " ", "  ", ".", "\n", "==", "<", "S>", "\U0001F600"]) for _ in range(n)) for n in (2, 3, 9, 80, 500, 500)]
+TEXTS += TEXTS[-1:]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 4 else None, t, "k%d" % i, 7) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[-1]], "doc_id bigint, text string, fp string, N int").repartition(3)
+
+
+def text_of(docs):
+    return {r["fp"]: (r["doc_id"], r["text"] or "") for r in docs.collect()}
+
+
+def test_pieces(docs):
+    lib, got, texts = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.encode_pieces(docs, PIECES).collect(), text_of(docs)
+    assert len(got) == docs.count()
+    for r in got:
+        want = lib.encode(texts[r["fp"]][1], add_bos=True, add_eos=True)
+        assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == want and r["decoded"] == lib.decode(want)
+    assert piece_codec.piece_digests(docs.limit(0), PIECES).count() == 0
+
+
+def test_pieces_any_strings():
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES, words=50, pairs=100)
+    pieces = [lib.id_to_piece(i) for i in range(259, 32000, 7)]
+    texts = ["".join(RND.choice(pieces) if RND.random() < 0.6 else RND.choice("abé  漢▁.\t=-_\U0001F600") for _ in range(RND.choice([1, 3, 9, 40]))) for _ in range(3000)]
+    for lo in range(0, 3000, 100):
+        part = texts[lo : lo + 100]
+        want = lib.encode(part, add_bos=True, add_eos=True)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in part])] == want
+        assert list(map(own.decode, own.encode([t.encode() for t in part]))) == lib.decode(want)
+
+
+def test_pieces_digests(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = piece_codec.op12_sentencepiece_codec(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = lib.encode(texts[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_infill(docs):
+    texts = text_of(docs)
+    got = infill.fill_in_middle(docs).collect()
+    assert len(got) == docs.count() and "N" not in got[0].asDict()
+    for r in got:
+        i, t = texts[r["fp"]]
+        h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+        h = [int(h[k : k + 8], 16) for k in range(0, 32, 8)]
+        w = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+        a, b = sorted((h[0] % (len(w) + 1), h[1] % (len(w) + 1)))
+        p, m, s = "".join(w[:a]), "".join(w[a:b]), "".join(w[b:])
+        plain = not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90
+        form = "plain" if plain else "spm" if h[3] % 100 < 20 else "psm"
+        out = t if plain else f"<P>{p}<S>{s}<M>{m}" if form == "psm" else f"<S>{s}<P>{p}<M>{m}"
+        assert (r["n"], r["form"], r["output"]) == (len(w), form, out)
+        assert (r["prefix_chars"], r["middle_chars"]) == ((None, None) if plain else (len(p), len(m)))
+        assert infill.restored(form, out.encode()).decode() == t
+    assert infill.fill_in_middle_digests(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 63, 64, 65, 1000, 5000])
+def test_select(width):
+    mask = RND.getrandbits(width) | 1
+    places = [i for i, c in enumerate(bin(mask)[2:].zfill(width)) if c == "1"]
+    assert [infill.select(mask, width, k) for k in range(len(places) + 1)] == [*places, width]
+
+
+def plain_collocations(rows, least, longest, most, percent):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        text = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split("[.,;:!?\n-\r]", text):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    found = {key: c for key, c in f.items() if len(key[1]) > 1 and c >= least}
+    inside = Counter()
+    for (lang, p), c in found.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                inside[lang, p[i : i + k]] = max(inside[lang, p[i : i + k]], c)
+    out = {}
+    for (lang, p), a in found.items():
+        if (lang, p) in inside and 100 * inside[lang, p] >= percent * a:
+            continue
+        score, _, left, right = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return {(lang, i + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang, rows in out.items() for i, x in enumerate(sorted(rows)[:most])}
+
+
+@pytest.fixture(scope="module")
+def talk(spark):
+    vocabulary = [f"w{i}" for i in range(30)] + ["New", "york", "|", "é", "\x1c", "the"] * 3
+    rows = [(None, None), ("en", None), ("en", ""), ("en", " . \t.")]
+    for i in range(150):
+        words = [vocabulary[min(int(RND.expovariate(0.12)), len(vocabulary) - 1)] + RND.choice(["", "", "", ".", "\n", "\t"]) for _ in range(RND.choice([1, 5, 90]))]
+        rows.append((RND.choice(["en", "en", "de", None]), " ".join(words) + " a common passage that stands in all texts. same same same same same same same"))
+    rows += rows[-9:] * 5
+    return spark.createDataFrame([(lang, text, 3) for lang, text in rows], "lang string, text string, F int").repartition(5), rows
+
+
+@pytest.mark.parametrize(("dictionary", "chunk", "hot", "percent"), [(400_000, 400_000, 1 << 16, 100), (0, 400_000, 1 << 16, 100), (20, 400_000, 5, 90), (400_000, 10, 1 << 16, 100), (400_000, 400_000, 20, 60), (8, 10, 3, 100)])
+def test_collocations(talk, monkeypatch, dictionary, chunk, hot, percent):
+    monkeypatch.setattr(collocations, "HOT", hot)
+    frame, rows = talk
+    got = {tuple(r) for r in collocations.collocations(frame, 6, 5, 40, percent, dictionary=dictionary, chunk=chunk).collect()}
+    assert got == plain_collocations(rows, 6, 5, 40, percent) and len(got) > 80
+
+
+def test_collocations_small_tables(spark, talk):
+    frame, _ = talk
+    assert collocations.collocations(frame.limit(0)).count() == 0
+    assert collocations.collocations(frame, 10**6).count() == 0
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, db, name):
+    df, want = queries.queries()[name](spark, SF), db.sql(queries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    at = [df.columns.index(c) for c in want.columns]
+    assert sorted((tuple(r[i] for i in at) for r in df.collect()), key=repr) == sorted(map(tuple, want.fetchall()), key=repr)
