@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.functions import text
+from gradewise.sources.shared import cut
 
 # What marks a graded item, the points of a score, and the least score of a match.
 GRADED = r"(?i)(?:PSA|ARS|CGC|BGS|ACE)\s*10|鑑定済"
 NAME_POINTS, BASE_POINTS, NUMBER_POINTS, SET_POINTS, RARITY_POINTS = 10, 6, 10, 4, 2
 KEY_POINTS, KEY_LENGTH = 2.0, 8
 THRESHOLD = 11
-#: Longest piece of a key by which texts and keys meet.
+#: Longest piece of a key by which texts and keys meet, and the bits of a filter of pieces.
 GRAM = 3
+BLOOM_BITS = 1 << 21
 
 
 def sold_as_new(state: Column) -> Column:
@@ -93,37 +97,59 @@ def blocked_match(cards: DataFrame, catalog: DataFrame, invalid: DataFrame | Non
     return cards.select("id", held.alias("title")).join(top.withColumnRenamed("title", "of"), F.col("title").eqNullSafe(F.col("of"))).select("id", "b.url", "b.score")
 
 
-def grams(c: Column) -> Column:
-    """The distinct pieces of a text of up to GRAM letters, and the empty one."""
+def grams(c: Column, widths: list[int]) -> Column:
+    """The distinct pieces of a text of these widths; of width 0 the empty one."""
 
     def pieces(n: int) -> Column:
         places = F.sequence(F.lit(1), F.length(c) - n + 1)
         return F.when(F.length(c) >= n, F.transform(places, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[pieces(n) if n else F.array(F.lit("")) for n in widths])) if widths else F.array().cast("array<string>")
+
+
+def membership(values: DataFrame, column: str, bits: int = BLOOM_BITS) -> Callable[[Column], Column]:
+    """A test whether a text may be among ``values``: a Bloom filter of ``bits`` bits, of bounded size
+    whatever the number of values, as a scalar subquery. It is never wrong where it says no."""
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    set_bits = values.select(F.explode(F.array(*places(F.col(column)))).alias("p")).groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("word"))
+    every = values.sparkSession.range(bits // 64).join(set_bits, "id", "left")
+    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))), lambda x: x["word"]).alias("words"))
+    words = dense.scalar()
+
+    def may_hold(c: Column) -> Column:
+        hit = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in places(c)]
+        return hit[0] & hit[1]
+
+    return may_hold
 
 
 def all_keys_match(cards: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, url): the first catalog entry of state A whose every key stands in the card's text, with
     equal finish. ``cards`` has id, name, model, variant, rarity and query.
 
-    Cards and entries meet on a piece of the entry's longest key (GRAM letters where it is so long),
-    of these the one that stands in the fewest cards; then every key is tested. Entries of equal
-    keys and finish count once. Pieces that very many cards have are split by adaptive execution.
+    Cards and entries meet on an anchor: a piece of the entry's longest key (GRAM letters where it is so
+    long), of these the one that stands in the fewest cards; then every key is tested. Pieces of
+    cards are counted only if an entry has them, and shuffled with the card's text only if they are
+    anchors, which Bloom filters of bounded size decide at the cards. Entries of equal keys and finish
+    count once. Anchors that very many cards have are split by adaptive execution.
     """
     parts = [F.nullif(text.given(F.col(c)), F.lit("")) for c in ("name", "model", "variant", "rarity", "query")]
-    hay = cards.select("id", text.loose(F.concat_ws(" ", *parts)).alias("hay"), text.finish_kind(F.col("name")).alias("finish"))
     entries = catalog.where(sold_as_new(F.col("state")) & (F.size("keys") > 0)).select(F.array_sort(F.array_distinct(F.transform("keys", text.loose))).alias("keys"), text.finish_kind(F.col("name")).alias("c_finish"), F.struct("pos", "url").alias("at"))
     entries = entries.groupBy("keys", "c_finish").agg(F.min("at").alias("first"))
     longest = F.array_max(F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    entries = entries.withColumn("longest", longest)
     width = F.least(F.length("longest"), F.lit(GRAM))
-    pieces = entries.select("keys", "c_finish", "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longest") - width + 1), lambda i: F.substring(F.col("longest"), i, width)))).alias("gram"))
-    spread = hay.select("id", "hay", "finish", F.explode(grams(F.col("hay"))).alias("gram"))
-    common = spread.groupBy("gram").agg(F.count("*").alias("n"))
-    anchors = pieces.join(common, "gram", "left").groupBy("keys", "c_finish").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"), F.first("first").alias("first")).select("keys", "c_finish", "first", "a.gram")
+    entries = cut(entries.withColumn("longest", longest).withColumn("width", width))
+    widths = sorted(r["width"] for r in entries.select("width").distinct().collect())  # of 0 to GRAM
+    full = text.loose(F.concat_ws(" ", *parts))
+    hay = cut(cards.select("id", full.alias("hay"), text.finish_kind(F.col("name")).alias("finish")).withColumn("grams", text.once(F.col("hay"), lambda c: grams(c, widths))))
+    pieces = entries.select("keys", "c_finish", "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longest") - F.col("width") + 1), lambda i: F.substring(F.col("longest"), i, F.col("width"))))).alias("gram"))
+    of_cards = hay.select("id", "hay", "finish", F.explode("grams").alias("gram"))
+    common = of_cards.where(membership(pieces, "gram")(F.col("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no card has is no anchor: its entry matches nothing.
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")
+    anchors = cut(pieces.join(common, "gram", "left").groupBy("keys", "c_finish").agg(rarest, F.first("first").alias("first")).where("a.n > 0").select("keys", "c_finish", "first", "a.gram"))
     held = F.forall("keys", lambda k: F.contains(F.col("hay"), k)) & (F.col("finish") == F.col("c_finish"))
-    return spread.join(anchors, "gram").where(held).groupBy("id").agg(F.min("first").alias("first")).select("id", "first.url")
+    return of_cards.where(membership(anchors, "gram")(F.col("gram"))).join(anchors, "gram").where(held).groupBy("id").agg(F.min("first").alias("first")).select("id", "first.url")
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewise.functions import text
+from gradewise.functions.numbers import size_bin
 from gradewise.plans.params import ProfitQuery
 
 #: Decisions by least return, with their labels.
@@ -123,6 +124,20 @@ def publish_order() -> list[Column]:
     return [F.coalesce("tv30", F.lit(0)).desc(), F.coalesce("price", F.lit(0.0)).desc(), F.col("pos").asc()]
 
 
+def with_place(cards: DataFrame) -> DataFrame:
+    """Cards with their ``place`` in the order of publication. Places are counted within groups of equal
+    trade counts and like prices (cards without a price: like positions), and the numbers of cards
+    in the groups before are added, so no task sees all cards; what one task orders is a row for
+    each group."""
+    bin_ = size_bin(F.coalesce("price", F.lit(0.0)))  # 0 for no price alone, so positions may cut it further
+    group = F.struct((-F.coalesce("tv30", F.lit(0))).alias("a"), (-bin_).alias("b"), F.when(bin_ == 0, F.shiftright("pos", 16)).otherwise(0).alias("c"))
+    grouped = cards.withColumn("place_group", group)
+    sizes = grouped.groupBy("place_group").agg(F.count("*").alias("n"))
+    before = sizes.select("place_group", F.coalesce(F.sum("n").over(Window.orderBy("place_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("place_group").orderBy(*publish_order()))
+    return grouped.withColumn("own", own).join(before, "place_group").withColumn("place", F.col("before") + F.col("own")).drop("place_group", "before", "own")
+
+
 #: Fixed values of the purchase guide: price ranges, target returns and hit rates.
 GUIDE_RANGES = [(40000, 70000), (71000, 100000), (101000, 150000)]
 GUIDE_RETURNS = (20, 10, 0)

@@ -7,7 +7,9 @@ there is one shuffle by card. The dense grid of all positions is made for export
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTHS = (7, 30, 90)
@@ -58,13 +60,64 @@ def summary(grid: DataFrame) -> DataFrame:
         *[(F.floor(mean(n) * 100 + 0.5) / 100).alias(f"avg{n}") for n in WIDTHS],
         F.count(F.when(F.col("date_pos").isNotNull(), F.col("stock"))).alias("samples"),
     )
+    return with_demand(out)
+
+
+def with_demand(averages: DataFrame) -> DataFrame:
+    """Adds demand and its label to avg30 and samples."""
     demand = F.when((F.col("samples") < MIN_SAMPLES) | F.col("avg30").isNull(), "pending")
     for name, least in DEMAND:
         demand = demand.when(F.col("avg30") >= least, name)
-    out = out.withColumn("demand", demand.otherwise("low"))
+    out = averages.withColumn("demand", demand.otherwise("low"))
     return out.withColumn("demand_label", F.element_at(F.create_map(*[F.lit(x) for kv in DEMAND_LABELS.items() for x in kv]), F.col("demand")))
 
 
+def ring_of(observations: DataFrame, retained: int = RETAINED) -> DataFrame:
+    """The state of a run (card_id, run_date, ring): each card's values at the last ``retained`` run dates,
+    the newest last, null where there was none, up to ``run_date``; rings are shorter while there
+    were fewer runs. It is made from the history once; ``advanced`` carries it on."""
+    dates = axis(observations, retained)
+    n = F.broadcast(dates.agg(F.count("*").cast("int").alias("n"), F.max("obs_date").alias("run_date")))
+    at = observations.join(dates, "obs_date", "left").where("stock IS NOT NULL")
+    held = at.groupBy("card_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("date_pos").isNotNull(), F.struct("date_pos", "stock")))).alias("at"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("at")[i])
+    return held.join(n).select("card_id", "run_date", cells.alias("ring"))
+
+
+def advanced(rings: DataFrame, run: DataFrame, run_date: str, retained: int = RETAINED) -> DataFrame:
+    """The rings after a run (card_id, stock) of ``run_date``. A later date than that of the rings shifts
+    each by one place; the same date, as of a run that is sent again, replaces the last place where
+    the run has a value; an earlier date changes nothing. A card that is new has a ring of its own
+    length, as places before it count as null. The rings should be a stored table: their date is read
+    first, and then there is one join by card; nothing else of the history is read."""
+    day, at = date.fromisoformat(run_date), rings.agg(F.max("run_date").alias("at")).first()["at"]
+    if at is not None and day < at:
+        return rings
+    new = run.where("stock IS NOT NULL").groupBy("card_id").agg(F.max("stock").alias("new"))
+    ring = F.coalesce("ring", F.array().cast("array<double>"))
+    if day == at:
+        out = F.concat(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.array(F.coalesce("new", F.try_element_at(ring, F.lit(-1)))))
+    else:
+        longer = F.concat(ring, F.array("new"))
+        out = F.when(F.size(longer) > retained, F.slice(longer, 2, retained)).otherwise(longer)
+    return rings.select("card_id", "ring").join(new, "card_id", "full").select("card_id", F.lit(day).alias("run_date"), out.alias("ring"))
+
+
+def ring_summary(rings: DataFrame) -> DataFrame:
+    """What ``summary`` gives, from each card's ring alone, without a shuffle."""
+    size = F.size("ring")
+    pairs = F.zip_with(F.slice("ring", F.lit(1), size - 1), F.slice("ring", F.lit(2), size - 1), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), a - b)))
+    with_drops = rings.withColumn("drops", F.when(size > 1, pairs).otherwise(F.array().cast("array<double>")))
+
+    def mean(n: int) -> Column:
+        last = F.slice("drops", F.greatest(F.size("drops") - n + 1, F.lit(1)), F.lit(n))
+        some = F.filter(last, lambda x: x.isNotNull())
+        return F.when(F.size(some) > 0, F.floor(F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some) * 100 + 0.5) / 100)
+
+    out = with_drops.select("card_id", F.element_at("ring", -1).alias("stock"), *[mean(n).alias(f"avg{n}") for n in WIDTHS], F.size(F.filter("ring", lambda x: x.isNotNull())).cast("bigint").alias("samples"))
+    return with_demand(out)
+
+
 def current_summary(cards: DataFrame, observations: DataFrame) -> DataFrame:
     """The summaries of the cards that there are now; the series of others stay in the history."""
     return summary(placed(observations)).join(cards.select(F.col("id").alias("card_id")).distinct(), "card_id", "left_semi")
@@ -94,8 +147,12 @@ def recorded(observations: DataFrame, outcomes: DataFrame, today: str) -> DataFr
 
 def catalog_run(links: DataFrame, catalog: DataFrame, misses: DataFrame, run_date: str, fresh_only: bool = False) -> DataFrame:
     """Outcome of each linked card in a run on the catalog: (card_id, url, outcome, stock,
-    misses_next). A URL that several cards share gets one more miss in a run, not one for each."""
-    seen = catalog.select(F.col("url"), "state", "stock", "observed_at").dropDuplicates(["url"])
+    misses_next). A URL that several cards share gets one more miss in a run, not one for each. Of
+    a URL's rows in the catalog the last one counts (by ``pos``, if there is one). With ``fresh_only`` a
+    row that wasn't observed on the day of the run is as if it weren't there."""
+    place = F.col("pos") if "pos" in catalog.columns else F.lit(0)
+    last = F.max_by(F.struct("state", "stock", "observed_at"), F.struct(place, "observed_at", "state", "stock"))
+    seen = catalog.groupBy("url").agg(last.alias("v")).select("url", "v.*")
     if fresh_only:
         seen = seen.where(F.col("observed_at") == F.lit(run_date).cast("date"))
     found = links.join(seen.withColumn("seen", F.lit(True)), "url", "left").join(misses, "url", "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewise.functions import text
 from gradewise.operators import buylist, match, pages, profit, stock
-from gradewise.plans import market
+from gradewise.plans import market, runs
 from gradewise.plans.params import MEASURES, ProfitQuery
 from gradewise.sources import sinks
 from gradewise.sources.cards import CARDS_SQL, cards, table
@@ -55,8 +55,7 @@ def profit_header(spark: SparkSession, d: str) -> DataFrame:
 
 def publish_sort(spark: SparkSession, d: str) -> DataFrame:
     """All cards in the order of publication, with their place in it."""
-    place = F.row_number().over(Window.orderBy(*profit.publish_order()))
-    return cards(spark, d).select("id", "tv30", "price", place.cast("bigint").alias("place"))
+    return profit.with_place(cards(spark, d)).select("id", "tv30", "price", "place")
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +270,7 @@ def queries() -> dict[str, Query]:
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = _search(ProfitQuery(tx=1, roi=-1000, psaMax=None, sort=f"{m}-{way}"))
-    return out | market.queries()
+    return out | market.queries() | runs.queries()
 
 
 GUIDE_SQL = """SELECT psa_price, target_roi, CAST(greatest(0e0, floor(({h} * psa_price - 13000e0 * (1 + target_roi / 100e0)) / (target_roi / 100e0 + 1 - (1 - {h}) * 0.75e0) / 1000 + 0.5e0) * 1000) AS DOUBLE) AS buy_price
@@ -326,4 +325,4 @@ def oracle_sql() -> dict[str, str]:
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = all_cards + f"WHERE tx >= 1 AND roi >= -1000 AND psa10 >= 0 ORDER BY {SQL_ORDER[m]} {way} NULLS LAST, pos LIMIT 60"
-    return out | market.oracle_sql(STOCK_SQL, CALC_SQL)
+    return out | market.oracle_sql(STOCK_SQL, CALC_SQL) | runs.oracle_sql(STOCK_SQL, out["buylist_new_posts"])

@@ -12,6 +12,7 @@ from gradewise.operators import match, pages, profit, publish, stock
 from gradewise.plans import titles as t
 from gradewise.plans.params import ProfitQuery
 from gradewise.sources.cards import CARDS_SQL, cards, table
+from gradewise.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 TODAY, NOW = "2026-08-22", "2026-08-21 23:21:00"
@@ -133,15 +134,18 @@ c AS (SELECT count(*) AS total, count(*) FILTER (WHERE linked) AS linked, count(
 SELECT *, format('{{:,}}', linked) || ' / ' || format('{{:,}}', total) || '（' || printf('%.1f', rate) || '%）' AS shown FROM c"""
 
 
-def attempted(spark: SparkSession, d: str) -> DataFrame:
-    """Keys tried before: those of cards of small size."""
+def attempted(spark: SparkSession, d: str, wanted: DataFrame) -> DataFrame:
+    """Keys tried before: those of wanted cards of small size."""
     small = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("id"))
-    return match.wanted(titled(spark, d)).join(small, "id", "left_semi").select("key").distinct()
+    return wanted.join(small, "id", "left_semi").select("key").distinct()
 
 
-def queue(spark: SparkSession, d: str) -> DataFrame:
-    forced = table(spark, d, "part").where("p_brand LIKE '%1'").select(F.col("p_partkey").alias("id"))
-    return match.unmatched_queue(match.wanted(titled(spark, d)), linked_cards(spark, d).where("url IS NOT NULL"), attempted(spark, d), forced, batch=0)
+def queue(spark: SparkSession, d: str, batch: int = 0, wanted: DataFrame | None = None) -> DataFrame:
+    wanted = cut(match.wanted(titled(spark, d))) if wanted is None else wanted
+    part = table(spark, d, "part")
+    forced = part.where("p_brand LIKE '%1'").select(F.col("p_partkey").alias("id"))
+    linked = part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"))
+    return match.unmatched_queue(wanted, linked, attempted(spark, d, wanted), forced, batch)
 
 
 QUEUE_CTE = f"""{t.CARDS}, {t.WANTED}, tried AS (SELECT DISTINCT key FROM wanted JOIN part ON p_partkey = id WHERE p_size < 10),
@@ -150,7 +154,8 @@ todo AS (SELECT key, id AS pos, id, query, promo, forced FROM (SELECT *, row_num
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
-    return match.attempted_after(attempted(spark, d), queue(spark, d))
+    wanted = cut(match.wanted(titled(spark, d)))
+    return match.attempted_after(attempted(spark, d, wanted), queue(spark, d, wanted=wanted))
 
 
 def seed_queue(spark: SparkSession, d: str) -> DataFrame:

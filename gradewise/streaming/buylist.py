@@ -1,19 +1,71 @@
-"""The daily append of new postings as a stream that ends when all files are read."""
+"""The daily append of new postings as a stream: a post id or an image that was seen before is dropped.
+
+Two stores keep what was seen, one by post id and one by image, as keyed state of two stateful steps
+that follow each other: an image counts as seen only if its post was new. A key's rows of one batch
+come to the step together, and the first of them by time stays, so results don't depend on how
+postings that arrive in the order of their time are split into batches. State is kept by time of
+arrival, not of posting: old postings that are collected later aren't late. A store's entry expires
+when its key was not seen for ``keep_days``, which bounds the state.
+
+Postings without an image all pass the second step, each under a key of its own; postings without an id are one post each only if the
+source says so, so they count as the post of the empty id, as in ``operators.buylist.new_posts``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from gradewise.streaming.state import DAY_MS, append_available
+
+KEEP_DAYS = 400
+
+
+class FirstOfKey(StatefulProcessor):
+    """Gives the first row of each key that isn't in the store, and notes the key."""
+
+    def __init__(self, order: tuple[str, ...], keep_days: int):
+        self.order, self.keep_ms = order, keep_days * DAY_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at timestamp", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        place = lambda r: tuple((r[c] is not None, r[c]) for c in self.order)
+        first = min(rows, key=place)
+        if not self.seen.exists():
+            yield first
+        self.seen.update((first["posted_at"],))  # which also prolongs its life
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_key(posts: DataFrame, key: str, order: tuple[str, ...], keep_days: int) -> DataFrame:
+    return posts.groupBy(key).transformWithState(FirstOfKey(order, keep_days), posts.schema, "append", "processingTime")
+
+
+def unseen(posts: DataFrame, keep_days: int = KEEP_DAYS, ties: str | None = None) -> DataFrame:
+    """A stream of postings (post_id, image_hash, posted_at and others) without those whose post id
+    or image came before. Of one time, the least image, then the least id comes first, or the
+    least ``ties``, if there is such a column."""
+    once = first_of_key(posts, "post_id", ("posted_at", ties or "image_hash"), keep_days)
+    # A posting without an image is a key of its own, which is new as its post is: no key holds them all.
+    picture = F.coalesce(F.concat(F.lit("i"), "image_hash"), F.concat(F.lit("p"), F.coalesce("post_id", F.lit(""))))
+    return first_of_key(once.withColumn("picture", picture), "picture", ("posted_at", ties or "post_id"), keep_days).drop("picture")
+
 
-def new_postings(spark: SparkSession, folder: str, schema: StructType, late: str = "7 days") -> DataFrame:
-    """Postings of a folder's Parquet files, without those whose post and image came before within ``late``."""
-    posts = spark.readStream.schema(schema).parquet(folder)
-    return posts.withWatermark("posted_at", late).dropDuplicatesWithinWatermark(["post_id", "image_hash"])
+def new_postings(spark: SparkSession, folder: str, schema: StructType, keep_days: int = KEEP_DAYS, files: int | None = None) -> DataFrame:
+    """The postings of a folder's Parquet files that are new; ``files`` bounds a batch."""
+    reader = spark.readStream.schema(schema)
+    return unseen((reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder), keep_days)
 
 
-def append_daily(spark: SparkSession, folder: str, schema: StructType, to: str, state: str, late: str = "7 days") -> StreamingQuery:
-    """Appends what is new since the last run to the Parquet folder ``to``; ``state`` keeps what was seen."""
-    out = new_postings(spark, folder, schema, late).writeStream.format("parquet").option("path", to).option("checkpointLocation", state)
-    return out.outputMode("append").trigger(availableNow=True).start()
+def append_daily(spark: SparkSession, folder: str, schema: StructType, to: str, state: str, keep_days: int = KEEP_DAYS, files: int | None = None) -> StreamingQuery:
+    """Appends what is new since the last run to the Parquet folder ``to``; ``state`` keeps what was seen.
+    Both must be folders that driver and executors share."""
+    return append_available(new_postings(spark, folder, schema, keep_days, files), to, state)
