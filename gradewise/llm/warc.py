@@ -48,12 +48,12 @@ KEPT_FROM_STORED = (
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. and default port, path without a last slash, query without
-    tracking parameters and in order; no scheme and no fragment."""
+    tracking parameters and in order; no scheme and no fragment. What has no ``://`` stays as it is."""
     part = lambda i: F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]*)?", i)
     host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), r"^www\.", ""), r":(80|443)$", "")
     kept = F.array_sort(F.filter(F.split(F.substring(part(3), 2, 1 << 30), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(url.isNotNull(), F.concat(host, F.regexp_replace(part(2), "/+$", ""), query))
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(host, F.regexp_replace(part(2), "/+$", ""), query)).otherwise(url)
 
 
 def _tag(header: Column) -> Column:
