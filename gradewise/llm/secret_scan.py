@@ -100,10 +100,19 @@ def sensitivity(name: str) -> float:
     return max((NAMES.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
+def is_placeholder(literal: str) -> bool:
+    """Whether a literal in lower case has a placeholder as a word of its own, alone or before a
+    sensitive name, or stands for hidden characters."""
+    if any(p in literal for p in PLACEHOLDERS if not p.isalpha() or p == "xxxx"):
+        return True
+    words = re.findall("[a-z]+", literal)
+    return any(w == p or (w.startswith(p) and w[len(p) :] in NAMES) for w in words for p in PLACEHOLDERS)
+
+
 def randomness(literal: str) -> float:
     """How random a literal looks, from 0 to 1: its entropy per character, by length and character
     kinds; 0 for placeholders and prose."""
-    if len(literal) < MIN_LITERAL or " " in literal or "://" in literal or any(p in literal.lower() for p in PLACEHOLDERS):
+    if len(literal) < MIN_LITERAL or " " in literal or "://" in literal or is_placeholder(literal.lower()):
         return 0.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
@@ -440,7 +449,8 @@ def spans(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     text = raw.decode()
     base = base_spans(raw, text)
     signs = any(x in raw for x in (b"=", b":", b"</", b'("', b"('"))
-    if not signs or not (STEMS.search(raw) or (b"://" in raw and b"@" in raw)):
+    named = signs and (STEMS.search(raw) or (b"://" in raw and b"@" in raw))
+    if not named and b"PRIVATE KEY-----" not in raw:  # a key block needs neither name nor sign
         return base, base
     more = [(a, 3, b) for a, b, _ in lexed(text) if not any(x <= a and b <= y for x, _, y in base)]
     return base, sorted(base + more) if more else base
