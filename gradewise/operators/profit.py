@@ -61,16 +61,26 @@ def condition(q: ProfitQuery) -> Column:
     if q.hide:
         keep.append(~F.col("decision").isin(*q.hide))
     if q.q:
-        hay = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("name", "model", "id", "decision_label")])
-        keep.append(F.contains(text.normalize(hay), text.normalize(F.lit(q.q))) | F.contains(text.compact(hay), text.compact(F.lit(q.q))))
+        keep.append(F.contains(text.normalize(searched()), text.normalize(F.lit(q.q))) | F.contains(text.compact(searched()), text.compact(F.lit(q.q))))
     return reduce(Column.__and__, keep)
 
 
-def order(sort: str) -> list[Column]:
+def searched() -> Column:
+    """The text of a card in which a search looks."""
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("name", "model", "id", "decision_label")])
+
+
+def sort_value(sort: str) -> tuple[Column, bool]:
+    """What an order compares before the place, and whether the largest comes first; nulls come last."""
     measure, direction = sort.rsplit("-", 1)
     name, missing = ORDERS[measure]
     c = F.coalesce(name, F.lit(0)) if missing == "zero" else F.coalesce(name, F.lit("")) if missing == "empty" else F.col(name)
-    return [c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last(), F.col("pos").asc()]
+    return c, direction == "desc"
+
+
+def order(sort: str) -> list[Column]:
+    c, down = sort_value(sort)
+    return [c.desc_nulls_last() if down else c.asc_nulls_last(), F.col("pos").asc()]
 
 
 def search(cards: DataFrame, q: ProfitQuery) -> DataFrame:
@@ -84,12 +94,10 @@ def header(cards: DataFrame, q: ProfitQuery) -> DataFrame:
     every = with_profit(cards, q.fee)
     found = condition(q)
     # The first row is the largest (descending) or smallest (ascending) by whether the value is there, value and place.
-    measure, direction = q.sort.rsplit("-", 1)
-    name, missing = ORDERS[measure]
-    c = F.coalesce(name, F.lit(0)) if missing == "zero" else F.coalesce(name, F.lit("")) if missing == "empty" else F.col(name)
-    best, shown = (F.max_by if direction == "desc" else F.min_by), F.struct("roi", "profit")
-    place = -F.col("pos") if direction == "desc" else F.col("pos")
-    there = c.isNotNull() if direction == "desc" else c.isNull()
+    c, down = sort_value(q.sort)
+    best, shown = (F.max_by if down else F.min_by), F.struct("roi", "profit")
+    place = -F.col("pos") if down else F.col("pos")
+    there = c.isNotNull() if down else c.isNull()
     first = best(F.when(found, shown), F.when(found, F.struct(there.alias("there"), c.alias("value"), place.alias("place"))))
     out = every.agg(F.count("*").alias("n_total"), F.count_if(found).alias("n_found"), F.max(F.when(found, F.col("roi"))).alias("max_roi"), F.max(F.when(found, F.col("profit"))).alias("max_profit"), first.alias("first"))
     rounded = lambda c: F.floor(F.col(c) + 0.5)
@@ -145,12 +153,30 @@ GUIDE_HITS = {"70": 0.7, "50": 0.5}
 MISS_SHARE = 0.75
 
 
-def guide(spark, mode: str = "70", fee: float = 13000.0, step: int = 1000) -> DataFrame:
-    """Purchase prices by graded price and target return, rounded to the step and not below zero."""
-    hit = GUIDE_HITS[mode]
-    prices = spark.range(1).select(F.explode(F.concat(*[F.sequence(F.lit(a), F.lit(b), F.lit(step)) for a, b in GUIDE_RANGES])).alias("psa_price"))
-    grid = prices.withColumn("target_roi", F.explode(F.array(*map(F.lit, GUIDE_RETURNS))))
-    r = F.col("target_roi") / F.lit(100.0)
+def buy_price(psa_price: Column, target_roi: Column, mode: str = "70", fee: float = 13000.0, step: int = 1000) -> Column:
+    """The purchase price at which a card of this graded price gives the target return, rounded to the
+    step and not below zero."""
+    hit, r = GUIDE_HITS[mode], target_roi / F.lit(100.0)
     below = r + 1 - (1 - hit) * MISS_SHARE
-    raw = (F.lit(hit) * F.col("psa_price") - F.lit(fee) * (1 + r)) / below
-    return grid.withColumn("buy_price", F.when(below > 0, F.greatest(F.lit(0.0), F.floor(raw / step + 0.5) * step).cast("double")))
+    raw = (F.lit(hit) * psa_price - F.lit(fee) * (1 + r)) / below
+    return F.when(below > 0, F.greatest(F.lit(0.0), F.floor(raw / step + 0.5) * step).cast("double"))
+
+
+def guided(cards: DataFrame, mode: str = "70", fee: float = 13000.0, step: int = 1000) -> DataFrame:
+    """Each card with a graded price, once for each target return: the purchase price, and whether the
+    card costs no more than that (null where its price isn't known)."""
+    priced = cards.where("snkPsa10Price > 0").withColumn("target_roi", F.explode(F.array(*map(F.lit, GUIDE_RETURNS))))
+    out = priced.withColumn("buy_price", buy_price(F.col("snkPsa10Price"), F.col("target_roi"), mode, fee, step))
+    return out.withColumn("within", F.when(F.col("price") > 0, F.col("price") <= F.col("buy_price")))
+
+
+def guide(cards: DataFrame, mode: str = "70", fee: float = 13000.0, step: int = 1000) -> DataFrame:
+    """Purchase prices by graded price and target return, with the number of cards whose graded price
+    rounds to that, and of those that cost no more than the purchase price of their own."""
+    prices = F.explode(F.concat(*[F.sequence(F.lit(a), F.lit(b), F.lit(step)) for a, b in GUIDE_RANGES]))
+    grid = cards.sparkSession.range(1).select(prices.alias("psa_price")).withColumn("target_roi", F.explode(F.array(*map(F.lit, GUIDE_RETURNS))))
+    grid = grid.withColumn("buy_price", buy_price(F.col("psa_price"), F.col("target_roi"), mode, fee, step))
+    near = (F.floor(F.col("snkPsa10Price") / step + 0.5) * step).cast("int").alias("psa_price")
+    counts = guided(cards, mode, fee, step).groupBy(near, "target_roi").agg(F.count("*").alias("n_cards"), F.count_if("within").alias("n_within"))
+    out = grid.join(counts, ["psa_price", "target_roi"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_cards", "n_within")})

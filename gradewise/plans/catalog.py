@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradewise.functions import text
 from gradewise.operators import buylist, match, pages, profit, stock
-from gradewise.plans import market, runs
+from gradewise.plans import market, runs, served
 from gradewise.plans.params import MEASURES, ProfitQuery
 from gradewise.sources import sinks
 from gradewise.sources.cards import CARDS_SQL, cards, table
@@ -234,8 +234,6 @@ def queries() -> dict[str, Query]:
         "profit_decisions": profit_decisions,
         "profit_header_stats": profit_header,
         "publish_sort": publish_sort,
-        "guide_70": lambda spark, _: profit.guide(spark, "70"),
-        "guide_50": lambda spark, _: profit.guide(spark, "50"),
         "stock_retention": stock_grid,
         "stock_decrease": stock_summary,
         "stock_demand": lambda spark, d: stock_summary(spark, d).groupBy("demand").agg(F.count("*").alias("n")),
@@ -270,11 +268,7 @@ def queries() -> dict[str, Query]:
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = _search(ProfitQuery(tx=1, roi=-1000, psaMax=None, sort=f"{m}-{way}"))
-    return out | market.queries() | runs.queries()
-
-
-GUIDE_SQL = """SELECT psa_price, target_roi, CAST(greatest(0e0, floor(({h} * psa_price - 13000e0 * (1 + target_roi / 100e0)) / (target_roi / 100e0 + 1 - (1 - {h}) * 0.75e0) / 1000 + 0.5e0) * 1000) AS DOUBLE) AS buy_price
-FROM (SELECT CAST(unnest(range(40000, 70001, 1000) || range(71000, 100001, 1000) || range(101000, 150001, 1000)) AS INTEGER) AS psa_price) CROSS JOIN (VALUES (20), (10), (0)) AS t(target_roi)"""
+    return out | market.queries() | runs.queries() | served.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -289,8 +283,6 @@ def oracle_sql() -> dict[str, str]:
         "profit_decisions": CALC_SQL + "SELECT decision, CASE decision WHEN 'missing' THEN '未取得' WHEN 'valuable' THEN '出す価値あり' WHEN 'watch' THEN '様子見' ELSE '出さない' END AS decision_label, count(*) AS n FROM found GROUP BY decision",
         "profit_header_stats": CALC_SQL + f", b AS (SELECT * FROM found {BASE_SQL}), f AS (SELECT * FROM b ORDER BY roi DESC NULLS LAST, pos LIMIT 1) SELECT (SELECT count(*) FROM found) AS n_total, (SELECT count(*) FROM b) AS n_found, (SELECT max(roi) FROM b) AS max_roi, (SELECT max(profit) FROM b) AS max_profit, (SELECT CAST(floor(roi + 0.5e0) AS BIGINT) FROM f) AS first_roi, (SELECT CAST(floor(profit + 0.5e0) AS BIGINT) FROM f) AS first_profit",
         "publish_sort": "WITH " + CARDS_SQL + " SELECT id, tv30, price, row_number() OVER (ORDER BY coalesce(tv30, 0) DESC, coalesce(price, 0) DESC, pos) AS place FROM cards",
-        "guide_70": GUIDE_SQL.format(h="0.7e0"),
-        "guide_50": GUIDE_SQL.format(h="0.5e0"),
         "stock_retention": GRID_SQL + " SELECT card_id, CAST(date_pos AS INTEGER) AS date_pos, obs_date, stock FROM grid",
         "stock_decrease": STOCK_SQL,
         "stock_current": f"SELECT * FROM ({STOCK_SQL}) WHERE card_id IN (SELECT p_partkey FROM part)",
@@ -325,4 +317,4 @@ def oracle_sql() -> dict[str, str]:
     for m in MEASURES:
         for way in ("asc", "desc"):
             out[f"profit_sort_{m}_{way}"] = all_cards + f"WHERE tx >= 1 AND roi >= -1000 AND psa10 >= 0 ORDER BY {SQL_ORDER[m]} {way} NULLS LAST, pos LIMIT 60"
-    return out | market.oracle_sql(STOCK_SQL, CALC_SQL) | runs.oracle_sql(STOCK_SQL, out["buylist_new_posts"])
+    return out | market.oracle_sql(STOCK_SQL, CALC_SQL) | runs.oracle_sql(STOCK_SQL, out["buylist_new_posts"]) | served.oracle_sql(CALC_SQL, NORMAL_SQL)
