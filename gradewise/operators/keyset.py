@@ -52,9 +52,6 @@ def page(spark: SparkSession, folder: str, q: ProfitQuery, after: Row | None = N
     while True:
         numbers = [r["range"] for r in ends.orderBy("range").limit(width + 1).select("range").collect()]
         more, numbers = len(numbers) > width, numbers[:width]
-        if not numbers:  # the key is that of the last row
-            first = read_ends(spark, at).agg(F.min("range")).first()[0]
-            return read_ranges(spark, at, [first]).limit(0)
         rows = read_ranges(spark, at, numbers)
         if after is not None:
             rows = rows.where(_beyond(q.sort, after, F.col("order_value"), F.col("pos")))

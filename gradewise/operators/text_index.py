@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gradewise.functions import text
 from gradewise.operators.profit import matches, searched, with_profit
 from gradewise.plans.params import ProfitQuery
-from gradewise.sources.ranges import ROWS, read_ends, read_ranges, write_ranges
+from gradewise.sources.ranges import ROWS, read_ends, read_ranges, read_rows, write_ranges
 
 WIDTH = 3
 PAD = "\0"
@@ -42,20 +42,17 @@ def write_index(cards: DataFrame, folder: str, fee: float = 13000.0, per_range:
     key = F.struct("form", "piece")
     at = f"{folder}/fee={fee:g}"
     write_ranges(postings(with_profit(cards, fee)), at, [F.col("form"), F.col("piece"), F.col("pos")], {"first": F.min(key), "last": F.max(key)}, per_range)
-    rows = cards.sparkSession.read.parquet(f"{at}/rows")
-    counts = rows.groupBy("form", "piece").agg(F.count("*").alias("n"))
+    counts = read_rows(cards.sparkSession, at).groupBy("form", "piece").agg(F.count("*").alias("n"))
     counts.repartitionByRange("form", "piece").sortWithinPartitions("form", "piece").write.mode("overwrite").parquet(f"{at}/counts")
 
 
-def _places(spark: SparkSession, at: str, form: str, piece: str, whole: bool) -> DataFrame | None:
-    """Places of cards under a piece, or under all pieces that begin with it; none if there are none."""
+def _places(spark: SparkSession, at: str, form: str, piece: str, whole: bool) -> DataFrame:
+    """Places of cards under a piece, or under all pieces that begin with it."""
     key = F.struct(F.lit(form).alias("form"), F.lit(piece).alias("piece"))
     begins = F.col("first") <= key
     if not whole:
         begins |= (F.col("first.form") == form) & F.startswith(F.col("first.piece"), F.lit(piece))
     numbers = [r["range"] for r in read_ends(spark, at).where(begins & (F.col("last") >= key)).select("range").collect()]
-    if not numbers:
-        return None
     same = (F.col("piece") == piece) if whole else F.startswith(F.col("piece"), F.lit(piece))
     rows = read_ranges(spark, at, numbers).where((F.col("form") == form) & same).select("pos")
     return rows if whole else rows.distinct()
@@ -79,7 +76,6 @@ def candidates(spark: SparkSession, folder: str, needle: str, fee: float = 13000
             continue  # a piece that no card has
         sets = [_places(spark, at, form, p, whole=True) for p in known[:depth]]
         found.append(reduce(lambda a, b: a.join(b, "pos", "left_semi"), sets))
-    found = [f for f in found if f is not None]
     return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], "pos bigint")
 
 

@@ -20,14 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool | None:
+    """None where there is nothing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(hadoop).isDirectory() if fs.exists(hadoop) else None
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON of the declared schema: a file that holds one array, or a folder of lines. An empty relation
     where there is none; what can't be read is left out. Numbers that aren't finite become null."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    folder = is_folder(spark, path)
+    if folder is None:
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=not fs.getFileStatus(hadoop).isDirectory())
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=not folder)
     number = {f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.select(*[F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if c in number else c for c in df.columns])
 
@@ -45,6 +51,25 @@ def read_population(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("e.key").alias("query"), *[F.col(f"e.value.{v}").alias(k) for k, v in names.items()], "pos")
 
 
+#: The shop's catalog; rows in a folder of lines carry their place, those of a file have it by their order.
+CATALOG = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "detailUrl", "state")] + [T.StructField("stock", T.DoubleType()), T.StructField("observedAt", T.StringType()), T.StructField("matchKeys", T.ArrayType(T.StringType())), T.StructField("pos", T.LongType())])
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, url, state, stock, observed_at, keys, pos) of a catalog: a folder of lines or a file with
+    one array. What isn't an array, and rows without a URL, give nothing."""
+    if is_folder(spark, path):
+        rows = read_json(spark, path, CATALOG)
+    elif is_folder(spark, path) is None:
+        rows = spark.createDataFrame([], CATALOG)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(CATALOG)).alias("rows"))
+        rows = whole.select(F.posexplode("rows").alias("at", "r")).select("r.*", F.col("at").cast("bigint").alias("at")).drop("pos").withColumnRenamed("at", "pos")
+    names = {"url": "detailUrl", "observed_at": "observedAt", "keys": "matchKeys"}
+    columns = [F.col(names.get(c, c)).alias(c) for c in ("id", "name", "url", "state", "stock")]
+    return rows.where("detailUrl <> ''").select(*columns, F.to_date(F.substring("observedAt", 1, 10)).alias("observed_at"), F.col("matchKeys").alias("keys"), "pos")
+
+
 def assigned_json(texts: DataFrame, column: str, schema: T.StructType | T.ArrayType) -> DataFrame:
     """Scripts that assign one JSON value to a global: the value, as a column ``value``."""
     bare = F.regexp_replace(F.regexp_replace(column, r"^[^=]*=\s*", ""), r";?\s*\z", "")

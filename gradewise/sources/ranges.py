@@ -19,8 +19,14 @@ def write_ranges(rows: DataFrame, folder: str, order: list[Column], ends: dict[s
     number = max(1, -(-rows.count() // per_range))
     placed = rows.repartitionByRange(number, *order).withColumn("range", F.spark_partition_id())
     placed.sortWithinPartitions("range", *order).write.mode("overwrite").partitionBy("range").parquet(f"{folder}/rows")
-    written = rows.sparkSession.read.schema(placed.schema).parquet(f"{folder}/rows")
-    written.groupBy("range").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in ends.items()]).write.mode("overwrite").parquet(f"{folder}/ends")
+    rows.limit(0).write.mode("overwrite").parquet(f"{folder}/columns")
+    read_rows(rows.sparkSession, folder).groupBy("range").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in ends.items()]).write.mode("overwrite").parquet(f"{folder}/ends")
+
+
+def read_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows with their ``range``."""
+    schema = spark.read.parquet(f"{folder}/columns").schema.add("range", "integer")
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
 def read_ends(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,5 +34,7 @@ def read_ends(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_ranges(spark: SparkSession, folder: str, numbers: list[int]) -> DataFrame:
-    """The rows of some ranges, of which there is one at least."""
+    """The rows of some ranges."""
+    if not numbers:
+        return spark.read.parquet(f"{folder}/columns")
     return spark.read.option("basePath", f"{folder}/rows").parquet(*[f"{folder}/rows/range={n}" for n in numbers]).drop("range")
