@@ -123,33 +123,78 @@ def membership(values: DataFrame, column: str, bits: int = BLOOM_BITS) -> Callab
     return may_hold
 
 
+def contained_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(t, finish, held): for each text of (t, hay, finish) the keys of ``keys`` (key, none empty) that stand in
+    it, as structs (n, key) in order, with n the number of texts that have the key's anchor.
+
+    Texts and keys meet on the anchor: a piece of the key (GRAM letters where it is so long), of these
+    the one that stands in the fewest texts; then the key is tested. Pieces of texts are counted only
+    if a key has them, and shuffled with the text only if they are anchors, which Bloom filters of bounded size
+    decide at the texts. Anchors that very many texts have are split by adaptive execution.
+    """
+    width = F.least(F.length("key"), F.lit(GRAM))
+    keys = cut(keys.select("key").distinct().withColumn("width", width))
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # of 1 to GRAM
+    texts = cut(texts.withColumn("grams", text.once(F.col("hay"), lambda c: grams(c, widths))))
+    places = F.sequence(F.lit(1), F.length("key") - F.col("width") + 1)
+    pieces = keys.select("key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("key"), i, F.col("width"))))).alias("gram"))
+    of_texts = texts.select("t", "hay", "finish", F.explode("grams").alias("gram"))
+    common = of_texts.where(membership(pieces, "gram")(F.col("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no text has is no anchor: its key stands in no text.
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")
+    anchors = cut(pieces.join(common, "gram", "left").groupBy("key").agg(rarest).where("a.n > 0").select("key", "a.n", "a.gram"))
+    met = of_texts.where(membership(anchors, "gram")(F.col("gram"))).join(anchors, "gram").where(F.contains(F.col("hay"), F.col("key")))
+    return met.groupBy("t", "finish").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held"))
+
+
 def all_keys_match(cards: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, url): the first catalog entry of state A whose every key stands in the card's text, with
     equal finish. ``cards`` has id, name, model, variant, rarity and query.
 
-    Cards and entries meet on an anchor: a piece of the entry's longest key (GRAM letters where it is so
-    long), of these the one that stands in the fewest cards; then every key is tested. Pieces of
-    cards are counted only if an entry has them, and shuffled with the card's text only if they are
-    anchors, which Bloom filters of bounded size decide at the cards. Entries of equal keys and finish
-    count once. Anchors that very many cards have are split by adaptive execution.
+    Equal texts of cards, equal entries and equal keys count once. The keys that stand in a text are
+    found first (``contained_keys``). Entries are then reached key by key, the rarest key first: a text
+    goes on from a prefix of an entry's keys to the prefixes that are one key longer, by an equi-join
+    for each length. So a text costs the prefixes that stand in it as a whole, however many
+    entries share one of its keys.
     """
     parts = [F.nullif(text.given(F.col(c)), F.lit("")) for c in ("name", "model", "variant", "rarity", "query")]
-    entries = catalog.where(sold_as_new(F.col("state")) & (F.size("keys") > 0)).select(F.array_sort(F.array_distinct(F.transform("keys", text.loose))).alias("keys"), text.finish_kind(F.col("name")).alias("c_finish"), F.struct("pos", "url").alias("at"))
-    entries = entries.groupBy("keys", "c_finish").agg(F.min("at").alias("first"))
-    longest = F.array_max(F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    width = F.least(F.length("longest"), F.lit(GRAM))
-    entries = cut(entries.withColumn("longest", longest).withColumn("width", width))
-    widths = sorted(r["width"] for r in entries.select("width").distinct().collect())  # of 0 to GRAM
+    entries = catalog.where(sold_as_new(F.col("state")) & (F.size("keys") > 0)).select(F.array_sort(F.array_distinct(F.transform("keys", text.loose))).alias("keys"), text.finish_kind(F.col("name")).alias("finish"), F.struct("pos", "url").alias("at"))
+    entries = entries.groupBy("keys", "finish").agg(F.min("at").alias("first"))
+    # An empty key, as of marks alone or null, stands in every text.
+    entries = cut(entries.withColumn("keys", F.filter("keys", lambda k: k != "")))
     full = text.loose(F.concat_ws(" ", *parts))
-    hay = cut(cards.select("id", full.alias("hay"), text.finish_kind(F.col("name")).alias("finish")).withColumn("grams", text.once(F.col("hay"), lambda c: grams(c, widths))))
-    pieces = entries.select("keys", "c_finish", "first", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longest") - F.col("width") + 1), lambda i: F.substring(F.col("longest"), i, F.col("width"))))).alias("gram"))
-    of_cards = hay.select("id", "hay", "finish", F.explode("grams").alias("gram"))
-    common = of_cards.where(membership(pieces, "gram")(F.col("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
-    # A gram that no card has is no anchor: its entry matches nothing.
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")
-    anchors = cut(pieces.join(common, "gram", "left").groupBy("keys", "c_finish").agg(rarest, F.first("first").alias("first")).where("a.n > 0").select("keys", "c_finish", "first", "a.gram"))
-    held = F.forall("keys", lambda k: F.contains(F.col("hay"), k)) & (F.col("finish") == F.col("c_finish"))
-    return of_cards.where(membership(anchors, "gram")(F.col("gram"))).join(anchors, "gram").where(held).groupBy("id").agg(F.min("first").alias("first")).select("id", "first.url")
+    hay = cut(cards.select("id", full.alias("hay"), text.finish_kind(F.col("name")).alias("finish")))
+    # The ids are given to rows that are written, as they must not change when they are computed again.
+    texts = cut(hay.select("hay", "finish").distinct()).withColumn("t", F.monotonically_increasing_id())
+    held = cut(contained_keys(texts, entries.select(F.explode("keys").alias("key"))))
+    ranks = held.select(F.explode("held").alias("k")).select("k.n", "k.key").distinct()
+    named = entries.withColumn("entry", F.monotonically_increasing_id())
+    listed = named.select("entry", "finish", "first", F.size("keys").alias("size"), F.explode("keys").alias("key")).join(ranks, "key")
+    listed = listed.groupBy("entry", "finish", "first", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    # An entry with a key that no text has matches nothing.
+    reached = cut(listed.where(F.size("keys") == F.col("size")).select("finish", "first", F.transform("keys", lambda k: k["key"]).alias("keys")))
+    found = texts.join(entries.where(F.size("keys") == 0).groupBy("finish").agg(F.min("first").alias("first")), "finish").select("t", "first")
+    for step in prefix_steps(held.select("t", "finish", F.transform("held", lambda k: k["key"]).alias("held")), reached):
+        found = found.unionByName(step.where("first IS NOT NULL").select("t", "first"))
+    best = texts.join(found.groupBy("t").agg(F.min("first").alias("first")), "t").select("hay", "finish", "first")
+    return hay.join(best, ["hay", "finish"]).groupBy("id").agg(F.min("first").alias("first")).select("id", "first.url")
+
+
+def prefix_steps(held: DataFrame, entries: DataFrame) -> list[DataFrame]:
+    """By length, the prefixes of entries' keys (finish, keys, first) that texts (t, finish, held) hold as a
+    whole: (t, finish, held, last, prefix, first), where ``first`` is that of an entry whose keys end there.
+    ``held`` and ``keys`` are in one order."""
+    longest = entries.agg(F.max(F.size("keys"))).first()[0] or 0
+    now, out = held.withColumn("last", F.lit(0)).withColumn("prefix", F.array().cast("array<string>")), []
+    for n in range(1, longest + 1):
+        ends = F.min(F.when(F.size("keys") == n, F.col("first"))).alias("first")
+        known = entries.where(F.size("keys") >= n).groupBy("finish", F.slice("keys", 1, n).alias("prefix")).agg(ends)
+        more = now.select("t", "finish", "held", "last", "prefix", F.posexplode("held").alias("at", "key")).where("at >= last")
+        now = more.select("t", "finish", "held", (F.col("at") + 1).alias("last"), F.array_append("prefix", F.col("key")).alias("prefix")).join(known, ["finish", "prefix"])
+        now = cut(now)
+        out.append(now)
+        now = now.drop("first")
+    return out
 
 
 def merge_catalogs(*catalogs: DataFrame) -> DataFrame:

@@ -146,6 +146,25 @@ def test_all_keys_by_short_and_empty_keys(spark):
     assert {r["id"]: r["url"] for r in match.all_keys_match(cards, catalog).collect()} == {1: "b", 2: "c"}
 
 
+def test_all_keys_match_costs_what_stands_in_a_text(spark):
+    """Many entries share a key with every text: a text reaches only the prefixes that it holds, not these entries."""
+    n = 200
+    cards = spark.createDataFrame([(i // 2, f"common item{i:04d}z", None, None, None, None) for i in range(n)], "id int, name string, model string, variant string, rarity string, query string")
+    listed = [(f"u{i}", "A", "n", ["common", f"item{i:04d}z"] if i % 5 else ["common", f"item{i:04d}z", "absent"], i) for i in range(n)]
+    listed += [("null", "A", "n", ["item0011z", None], -1), ("late", "A", "n", ["", "common", "item0010z"], 500)]
+    catalog = spark.createDataFrame(listed, "url string, state string, name string, keys array<string>, pos int")
+    got = {r["id"]: r["url"] for r in match.all_keys_match(cards, catalog).collect()}
+    want = {}
+    for i in range(n):
+        for url, _, _, keys, pos in listed:
+            if all((k or "") in f"commonitem{i:04d}z" for k in keys):
+                want[i // 2] = min(want.get(i // 2, (pos, url)), (pos, url))
+    assert got == {k: url for k, (_, url) in want.items()}
+    held = spark.createDataFrame([(i, "", [f"item{i:04d}z", "common"]) for i in range(n)], "t bigint, finish string, held array<string>")
+    entries = spark.createDataFrame([("", [f"item{i:04d}z", "common"], i) for i in range(n)], "finish string, keys array<string>, first int")
+    assert [s.count() for s in match.prefix_steps(held, entries)] == [n, n]
+
+
 def test_listing_and_product_pages(spark):
     item = '<li class="list_item_cell list_item_77 "><b>在庫数 1,204 枚</b><a href="https://shop.example/product/77" class="item_data_link"><img alt="〔状態A-〕Mew【RR】{012/069}"></a><span class="model_number_value">sv9</span></li>'
     markdown = "Markdown Content:\r\n[![Image 4: Mew【RR】{012/069}](https://i.example/a.jpg) 〔状態B〕Mew {012/069}[**sv9**] SOLD OUT](https://shop.example/product/78)\r\n[x](https://shop.example/product/79)"
