@@ -20,33 +20,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from gradewise.streaming.state import DAY_MS, append_available
+from gradewise.streaming.state import DAY_MS, append_available, combined, first_rows
 
 KEEP_DAYS = 400
+#: Lists of keys in a store. A store that was written with another number must be built again.
+BUCKETS = 1 << 12
 
 
 class FirstOfKey(StatefulProcessor):
-    """Gives the first row of each key that isn't in the store, and notes the key."""
+    """Gives the first row of each key that isn't in the store, and notes the key. The keys of a bucket are one
+    list, so that a batch asks the store once for each bucket, not for each key, and only adds to it."""
 
-    def __init__(self, order: tuple[str, ...], keep_days: int):
-        self.order, self.keep_ms = order, keep_days * DAY_MS
+    def __init__(self, key: str, order: tuple[str, ...], keep_days: int):
+        self.key, self.order, self.keep_ms = key, order, keep_days * DAY_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at timestamp", self.keep_ms)
+        self.seen = handle.getListState("seen", "key string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         place = lambda r: tuple((r[c] is not None, r[c]) for c in self.order)
-        first = min(rows, key=place)
-        if not self.seen.exists():
-            yield first
-        self.seen.update((first["posted_at"],))  # which also prolongs its life
+        first: dict[str | None, Row] = {}
+        for r in rows:
+            k = r[self.key]
+            if k not in first or place(r) < place(first[k]):
+                first[k] = r
+        seen = {e[0] for e in self.seen.get()} if self.seen.exists() else set()
+        yield from (r for k, r in first.items() if k not in seen)
+        self.seen.appendList([(k,) for k in first])  # known ones, too, which prolongs their life
 
     def close(self) -> None:
         pass
 
 
 def first_of_key(posts: DataFrame, key: str, order: tuple[str, ...], keep_days: int) -> DataFrame:
-    return posts.groupBy(key).transformWithState(FirstOfKey(order, keep_days), posts.schema, "append", "processingTime")
+    some = combined(posts, lambda rows: first_rows(rows, key, order))
+    bucketed = some.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return bucketed.groupBy("bucket").transformWithState(FirstOfKey(key, order, keep_days), bucketed.schema, "append", "processingTime").drop("bucket")
 
 
 def unseen(posts: DataFrame, keep_days: int = KEEP_DAYS, ties: str | None = None) -> DataFrame:

@@ -2,14 +2,16 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gradewise.operators import buylist, match, profit, stock
 from gradewise.sources import sinks
 from gradewise.streaming import links
-from gradewise.streaming.buylist import append_daily
-from gradewise.streaming.state import append_available
+from gradewise.streaming.buylist import FirstOfKey, append_daily
+from gradewise.streaming.state import append_available, first_rows
 
 
 
@@ -192,3 +194,36 @@ def test_the_last_row_of_a_repeated_url_counts(spark):
     assert out.first()["outcome"] == "rejected"
     fresh = stock.catalog_run(links_, catalog, spark.createDataFrame([], "url string, misses int"), "2026-01-02", fresh_only=True)
     assert fresh.first()["outcome"] == "missed"
+
+
+def test_a_bucket_of_keys_asks_the_store_once():
+    """Many new and known keys of one bucket: one look at the store and one addition, and the first row of each new key."""
+
+    class Store:
+        asked, held = 0, [("k3",)]
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            self.asked += 1
+            return iter(self.held)
+
+        def appendList(self, rows):  # noqa: N802
+            self.asked += 1
+            self.held = self.held + rows
+
+    store, step = Store(), FirstOfKey("k", ("t",), 10)
+    step.init(store)
+    rows = [Row(k=f"k{i % 50}", t=None if i == 99 else 100 - i) for i in range(100)] + [Row(k=None, t=1)]
+    got = {r["k"]: r["t"] for r in step.handleInputRows((0,), iter(rows), None)}
+    assert got == {**{f"k{i}": 50 - i for i in range(49) if i != 3}, "k49": None, None: 1}
+    assert store.asked == 2 and not list(step.handleInputRows((0,), iter(rows), None))
+
+
+def test_the_first_rows_of_a_task():
+    rows = pa.table({"k": ["a", "b", "a", None, None], "t": [2, 5, None, 4, 3], "x": ["p", "q", "r", "s", "t"]})
+    assert sorted(first_rows(rows, "k", ("t", "x")).to_pylist(), key=repr) == sorted([{"k": "a", "t": None, "x": "r"}, {"k": "b", "t": 5, "x": "q"}, {"k": None, "t": 3, "x": "t"}], key=repr)
