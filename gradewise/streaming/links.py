@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradewise.operators.stock import MISSES
-from gradewise.streaming.state import DAY_MS
+from gradewise.streaming.state import DAY_MS, combined, distinct_rows
 
 OUTCOMES = "url string, run bigint, outcome string, misses int, stock double"
 KEEP_DAYS = 400
@@ -62,5 +62,6 @@ def _strength(r: Row) -> tuple:
 
 def outcomes(found: DataFrame, keep_days: int = KEEP_DAYS) -> DataFrame:
     """The stream of outcomes (url, run, outcome, misses, stock) of a stream of ``found`` rows."""
-    rows = found.where("url IS NOT NULL").select("url", "run", "seen", "state", "stock")
+    # What a run found of a URL comes once for each card that it links: equal rows go to the state once.
+    rows = combined(found.where("url IS NOT NULL").select("url", "run", "seen", "state", "stock"), distinct_rows)
     return rows.groupBy("url").transformWithState(DeadLinks(keep_days), OUTCOMES, "append", "processingTime")

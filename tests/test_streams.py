@@ -11,7 +11,7 @@ from gradewise.operators import buylist, match, profit, stock
 from gradewise.sources import sinks
 from gradewise.streaming import links
 from gradewise.streaming.buylist import FirstOfKey, append_daily
-from gradewise.streaming.state import append_available, first_rows
+from gradewise.streaming.state import append_available, combined, distinct_rows, first_rows
 
 
 
@@ -227,3 +227,8 @@ def test_a_bucket_of_keys_asks_the_store_once():
 def test_the_first_rows_of_a_task():
     rows = pa.table({"k": ["a", "b", "a", None, None], "t": [2, 5, None, 4, 3], "x": ["p", "q", "r", "s", "t"]})
     assert sorted(first_rows(rows, "k", ("t", "x")).to_pylist(), key=repr) == sorted([{"k": "a", "t": None, "x": "r"}, {"k": "b", "t": 5, "x": "q"}, {"k": None, "t": 3, "x": "t"}], key=repr)
+
+
+def test_equal_rows_of_a_task_come_once(spark):
+    rows = spark.range(5000).coalesce(1).select(F.lit("u").alias("url"), (F.col("id") % 3).alias("run"), F.lit(None).cast("double").alias("stock"))
+    assert sorted(map(tuple, combined(rows, distinct_rows).collect())) == [("u", k, None) for k in range(3)]
