@@ -53,11 +53,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)) & 0xFFFFFFFFFFFFFFFF
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
 def with_fingerprint(docs: DataFrame, words: int = WORDS, name: str = "fp", text: str = "text", keep: list[str] | None = None) -> DataFrame:
