@@ -18,6 +18,10 @@ THRESHOLD = 11
 #: Longest piece of a key by which texts and keys meet, and the bits of a filter of pieces.
 GRAM = 3
 BLOOM_BITS = 1 << 21
+#: Tasks of a core over titles to parse.
+TASKS = 4
+#: Lengths of the beginnings by which a text meets those that contain it.
+WIDTHS = 1, 2, 4, 8, 16
 
 
 def sold_as_new(state: Column) -> Column:
@@ -33,7 +37,7 @@ def catalog_entries(listed: DataFrame, today: str) -> DataFrame:
     url, state, model, stock, pos): the name is the title without its state, with the model in brackets; the keys are the name, its parts and
     two joins of them, each once."""
     full = text.collapse(F.concat(text.strip_state(F.col("title")), F.when(text.given(F.col("model")) != "", F.concat(F.lit(" ["), F.col("model"), F.lit("]"))).otherwise("")))
-    out = listed.select("id", full.alias("name"), "url", F.coalesce(F.nullif("state", F.lit("")), F.lit("A")).alias("state"), "stock", F.lit(today).cast("date").alias("observed_at"), "pos")
+    out = spread(listed).select("id", full.alias("name"), "url", F.coalesce(F.nullif("state", F.lit("")), F.lit("A")).alias("state"), "stock", F.lit(today).cast("date").alias("observed_at"), "pos")
     joined = [F.col("name"), *[part(k) for k in ("base", "card_no", "set_code", "rarity")], F.concat(*[part(k) for k in ("base", "rarity", "card_no", "set_code")]), F.concat(*[part(k) for k in ("base", "card_no", "set_code")])]
     keys = F.array_distinct(F.filter(F.array(*map(text.loose, joined)), lambda k: k != ""))
     return with_parts(out).select(*out.columns, keys.alias("keys"))
@@ -50,6 +54,12 @@ def with_parts(titles: DataFrame, name: str = "name", model: str | None = None,
     return titles.withColumn("part", text.components(F.col(name), some(model), some(exact))).withColumn("display", text.once(F.col("part"), text.named))
 
 
+def spread(titles: DataFrame) -> DataFrame:
+    """Titles dealt to all cores: parsing one takes far longer than reading it, so files and shuffles
+    that are small in bytes would leave it to a few tasks."""
+    return titles.repartition(TASKS * titles.sparkSession.sparkContext.defaultParallelism)
+
+
 def _alike(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
@@ -63,38 +73,87 @@ def blocked_match(cards: DataFrame, catalog: DataFrame, invalid: DataFrame | Non
     ``invalid`` URLs are left out only afterwards, so they keep a block from falling back. Of equal
     scores the first entry wins.
 
-    Titles that stand for many cards or entries are compared once, and the best of a title is one
-    value, kept by partial aggregation. A number that very many titles share is one key of the
-    second join, which adaptive execution splits.
+    A score is that of an entry's profile (set code, rarity, and which of number, code and rarity
+    are among its keys) and that of its own texts (name, base, other keys). Cards meet each profile of
+    their block once, and of the entries only those of families (equal number, finish and base) that share a
+    text with them (``related``): any other scores what the first entry of its profile does. Cards with
+    equal parts are compared once, and the best is one value, kept by partial aggregation.
     """
     keyed = lambda name: {"name": name, "base": part("base"), "number": part("card_no"), "code": part("set_code"), "rare": part("rarity")}
-    titles = with_parts(cards.select("name", "model", "rarity").distinct(), "name", "model", "rarity")
-    left = titles.select(F.struct("name", "model", "rarity").alias("title"), *[text.loose(c).alias(f"l_{k}") for k, c in keyed(F.col("display")).items()], part("finish").alias("l_finish")).where("l_number <> ''")
+    titles = with_parts(spread(cards.select("name", "model", "rarity").distinct()), "name", "model", "rarity")
+    left = titles.select(F.struct("name", "model", "rarity").alias("title"), *[text.loose(c).alias(f"l_{k}") for k, c in keyed(F.col("display")).items()], part("finish").alias("l_finish"))
+    # Titles are written before they are filtered: a filter would go down to the files and parse each once more, in few tasks.
+    left = cut(left.select("title", F.struct(*left.columns[1:]).alias("parts"))).where("parts.l_number <> ''")
     entries = with_parts(catalog.select("url", "name", "state", "pos", "keys")).withColumnRenamed("name", "shown")
-    entries = entries.select("url", "state", "pos", "shown", F.transform("keys", text.loose).alias("keys"), part("finish").alias("finish"), *[text.loose(c).alias(k) for k, c in keyed(F.col("shown")).items()]).where("number <> ''")
+    entries = entries.select("url", "state", "pos", "shown", F.filter(F.transform("keys", text.loose), lambda k: k != "").alias("keys"), part("finish").alias("finish"), *[text.loose(c).alias(k) for k, c in keyed(F.col("shown")).items()])
+    entries = cut(entries).where("number <> ''")
     blocks = entries.where("code <> ''").select(F.col("number").alias("l_number"), F.col("code").alias("l_code")).distinct().withColumn("exact", F.lit(True))
-    left = left.join(blocks, ["l_number", "l_code"], "left")
+    # The ids are given to rows that are written, as they must not change when they are computed again.
+    asked = cut(left.select("parts").distinct().select("parts", "parts.*").join(blocks, ["l_number", "l_code"], "left")).withColumn("t", F.monotonically_increasing_id())
     usable = entries.where(matchable(F.col("state"), F.col("shown")))
     if invalid is not None:
         usable = usable.join(invalid.select("url").distinct(), "url", "left_anti")
-    same = ["number", "code", "name", "base", "rare", "finish", "keys"]
-    usable = usable.groupBy(*same).agg(F.min(F.struct("pos", "url")).alias("first"))
-    number = F.col("l_number") == F.col("number")
-    pairs = left.where("exact").join(usable, number & (F.col("l_code") == F.col("code"))).unionByName(left.where("exact IS NULL").join(usable, number)).where("l_finish = finish")
+    shared = {"number": F.lit(True), "code": F.col("code") != F.col("number"), "rare": ~F.col("rare").isin(F.col("number"), F.col("code"))}
+    held = F.coalesce("keys", F.array().cast("array<string>"))
+    is_part = lambda c: lambda k: k == F.col(c)
+    times = [F.when(first, F.size(F.filter(held, is_part(c)))).otherwise(0).alias(f"n_{c}") for c, first in shared.items()]
+    own = F.filter(held, lambda k: ~k.isin(*[F.col(c) for c in shared])).alias("own")
+    profile = ["number", "code", "rare", "finish", *[f"n_{c}" for c in shared]]
+    usable = usable.select("*", *times, own).groupBy(*profile, "name", "base", "own").agg(F.min(F.struct("pos", "url")).alias("first"))
+    usable = cut(usable.withColumn("family", F.when(F.col("base") != "", F.col("base")).otherwise(F.col("name"))))
+    same = (F.col("l_number") == F.col("number")) & (F.col("l_finish") == F.col("finish"))
+
+    def met(some: DataFrame, right: DataFrame, cond: Column) -> DataFrame:
+        return some.where("exact").join(right, cond & (F.col("l_code") == F.col("code"))).unionByName(some.where("exact IS NULL").join(right, cond))
+
     points = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
-    keys = F.aggregate(F.filter("keys", lambda k: (k != "") & F.contains(F.col("l_name"), k)), F.lit(0.0), lambda s, k: s + F.least(F.lit(KEY_POINTS), F.length(k) / KEY_LENGTH))
-    score = (
+    worth = lambda k: F.least(F.lit(KEY_POINTS), F.length(k) / KEY_LENGTH)
+    of_profile = float(NUMBER_POINTS) + points((F.col("l_code") != "") & (F.col("l_code") == F.col("code")), SET_POINTS) + points((F.col("l_rare") != "") & (F.col("l_rare") == F.col("rare")), RARITY_POINTS)
+    for c in shared:
+        of_profile += F.when(F.contains(F.col("l_name"), F.col(c)), F.col(f"n_{c}") * worth(F.col(c))).otherwise(0.0)
+    of_texts = (
         points(_alike(F.col("l_name"), F.col("name")), NAME_POINTS)
         + points(_alike(F.col("l_base"), F.col("base")), BASE_POINTS)
-        + float(NUMBER_POINTS)
-        + points((F.col("l_code") != "") & (F.col("l_code") == F.col("code")), SET_POINTS)
-        + points((F.col("l_rare") != "") & (F.col("l_rare") == F.col("rare")), RARITY_POINTS)
-        + F.coalesce(keys, F.lit(0.0))
+        + F.aggregate(F.filter("own", lambda k: F.contains(F.col("l_name"), k)), F.lit(0.0), lambda s, k: s + worth(k))
     )
-    best = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-    top = best.groupBy("title").agg(F.max_by(F.struct("first.url", "score"), F.struct("score", -F.col("first.pos"))).alias("b"))
-    held = F.struct("name", "model", "rarity")
-    return cards.select("id", held.alias("title")).join(top.withColumnRenamed("title", "of"), F.col("title").eqNullSafe(F.col("of"))).select("id", "b.url", "b.score")
+    profiles = usable.groupBy(*profile).agg(F.min("first").alias("first"))
+    close = asked.join(related(asked, usable), "t").withColumnRenamed("family", "of")
+    found = met(asked, profiles, same).select("t", of_profile.alias("score"), "first")
+    found = found.unionByName(met(close, usable, same & (F.col("of") == F.col("family"))).select("t", (of_profile + of_texts).alias("score"), "first"))
+    top = found.where(F.col("score") >= threshold).groupBy("t").agg(F.max_by(F.struct("first.url", "score"), F.struct("score", -F.col("first.pos"))).alias("b"))
+    best = left.join(asked.select("parts", "t").join(top, "t").select("parts", "b"), "parts").select(F.col("title").alias("of"), "b")
+    title = F.struct("name", "model", "rarity")
+    return cards.select("id", title.alias("title")).join(best, F.col("title").eqNullSafe(F.col("of"))).select("id", "b.url", "b.score")
+
+
+def related(asked: DataFrame, usable: DataFrame) -> DataFrame:
+    """(t, family), each once: the families of entries that share a text with a card's parts, so that
+    the entry's name or base and the card's contain one another or an own key stands in the card's name."""
+    block = ["number", "finish"]
+    sides = asked.select("t", F.col("l_number").alias("number"), F.col("l_finish").alias("finish"), "l_name", "l_base")
+    # A text of an entry that contains another of it adds no family.
+    every = F.array_distinct(F.array_append("own", F.col("name")))
+    least = F.filter(every, lambda k: (k != "") & ~F.exists(every, lambda j: (j != "") & (j != k) & F.contains(k, j)))
+    texts = usable.select(*block, "family", F.explode(least).alias("needle")).distinct()
+    names = usable.select(*block, "family", F.col("name").alias("hay")).distinct()
+    bases = usable.where("base <> ''").select(*block, "family").distinct()
+    asked_bases = sides.select(*block, "l_base").distinct()
+    alike = containing(bases.withColumn("needle", F.col("family")), asked_bases.withColumn("hay", F.col("l_base")), block)
+    alike = alike.unionByName(containing(asked_bases.withColumn("needle", F.col("l_base")), bases.withColumn("hay", F.col("family")), block), allowMissingColumns=True)
+    out = containing(texts, sides.select("t", *block, F.col("l_name").alias("hay")), block).select("t", "family")
+    out = out.unionByName(containing(sides.select("t", *block, F.col("l_name").alias("needle")), names, block).select("t", "family"))
+    return out.unionByName(sides.join(alike.select(*block, "l_base", "family").distinct(), [*block, "l_base"]).select("t", "family")).distinct()
+
+
+def containing(needles: DataFrame, hays: DataFrame, block: list[str]) -> DataFrame:
+    """The rows of ``needles`` (needle) and ``hays`` (hay) of equal ``block`` where the hay contains the
+    needle, which is not empty. They meet on the needle's beginning, of the greatest of WIDTHS that it
+    has; of a hay only pieces that begin a needle are shuffled, which a Bloom filter decides."""
+    width = F.coalesce(*[F.when(F.length("needle") >= w, F.lit(w)) for w in reversed(WIDTHS)])
+    needles = needles.where("needle <> ''").withColumn("gram", F.substring(F.col("needle"), F.lit(1), width))
+    widths = sorted(r["w"] for r in needles.select(width.alias("w")).distinct().collect())  # of WIDTHS
+    pieces = hays.withColumn("gram", F.explode(grams(F.col("hay"), widths))).where(membership(needles.select("gram").distinct(), "gram")(F.col("gram")))
+    return needles.join(pieces, [*block, "gram"]).where(F.contains(F.col("hay"), F.col("needle"))).drop("gram")
 
 
 def grams(c: Column, widths: list[int]) -> Column:

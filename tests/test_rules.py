@@ -229,3 +229,27 @@ def test_sparse_and_dense_summaries_agree(spark):
     obs = spark.createDataFrame(rows, "card_id int, d string, stock double").select("card_id", F.to_date("d").alias("obs_date"), "stock")
     sparse, dense = stock.summary(stock.placed(obs, 20)), stock.summary(stock.history(obs, 20))
     assert sorted(map(tuple, sparse.collect())) == sorted(map(tuple, dense.collect()))
+
+
+def test_texts_meet_what_contains_them(spark):
+    rnd = random.Random(5)
+    some = lambda n: sorted({"".join(rnd.choice("abé漢") for _ in range(rnd.choice([0, 1, 2, 3, 5, 9, 17, 20]))) for _ in range(n)})
+    needles = some(60)
+    hays = [*some(40), *(h + n + h for h, n in zip(some(30), needles[::2], strict=False))]
+    left = spark.createDataFrame([(i % 2, n) for i, n in enumerate(needles)], "block int, needle string")
+    right = spark.createDataFrame([(i % 2, h) for i, h in enumerate(hays)], "block int, hay string").distinct()
+    got = [tuple(r) for r in match.containing(left, right, ["block"]).select("block", "needle", "hay").collect()]
+    want = {(i % 2, n, h) for i, n in enumerate(needles) for j, h in enumerate(hays) if n and n in h and i % 2 == j % 2}
+    assert sorted(got) == sorted(want)
+
+
+def test_blocked_match_compares_what_shares_a_text(spark, monkeypatch):
+    n = 60
+    names = ["".join(random.Random(i).choices("abcdefghjkmnopqrstuvwxyz", k=12)) for i in range(n)]
+    left, right = _sides(spark, [(i, f"{x} [s1 001/002]", "", "") for i, x in enumerate(names)], [(100 + i, f"{x} {{001/002}} [s1]", "A") for i, x in enumerate(names[1:])])
+    pairs, related = [], match.related
+    monkeypatch.setattr(match, "related", lambda *a: pairs.append(related(*a)) or pairs[0])
+    got = {r["id"]: r["url"] for r in match.blocked_match(left, right).collect()}
+    # The first card shares the number and set code alone, which is a profile's score; of equal scores the first entry wins.
+    assert got == {0: "u100"} | {i: f"u{99 + i}" for i in range(1, n)}
+    assert pairs[0].count() == n - 1
