@@ -4,8 +4,9 @@ Words are ordered within a language, frequent ones first. The pivot of an n-gram
 (at the leftmost of its places), so each place of an n-gram belongs to one word occurrence. Every
 occurrence is rewritten to a fragment: itself with at most ``LONGEST`` - 1 neighbours a side, cut
 where a rarer word, a word below the threshold or a piece's edge stands. Fragments are summed inside
-tasks, packed by pivot, and routed to the pivot's partition, where the n-grams over the pivot
-are mined locally, by prefix growth from the pivot outwards; no n-gram of another pivot is made.
+tasks, packed by groups of pivots, of which a language has ``GROUPS``, and routed to the group's
+partition, where the n-grams over each pivot are mined locally, by prefix growth from the pivot outwards; no
+n-gram of another pivot is made. So a slice makes a bounded number of rows, however many of its words are frequent.
 
 The order is a dictionary of the most frequent words of at most ``DICTIONARY`` entries, in which each
 word is one character, so a text is a string of a character a word and fragments are slices of it. A
@@ -15,7 +16,7 @@ fragments. So the broadcast is bounded, and results are the same for any bound.
 
 A pivot of more than ``HOT`` occurrences is dealt over several partitions: by its left neighbour for
 the n-grams that have one, by its right neighbour for the others, so an n-gram is still counted in
-one place. Should a partition's fragments of a pivot exceed a chunk all the same, the n-grams of
+one place. Should the fragments of a group exceed a chunk all the same, the n-grams of
 each chunk are partial counts, summed by phrase in a shuffle that final counts pass as they are.
 Counts of words are joined to cuts of phrases by key, with large keys split by adaptive execution.
 The top of each language is ranked in buckets of phrases first, so no task sees all phrases of a
@@ -47,7 +48,9 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 DICTIONARY = 400_000
 #: Occurrences of a pivot above which it is dealt over partitions.
 HOT = 1 << 16
-#: Different fragments of a pivot that are mined at once.
+#: Groups of a language's pivots that aren't hot; pivots of close frequency are in different ones.
+GROUPS = 4096
+#: Different fragments of a group of pivots that are mined at once.
 CHUNK = 400_000
 #: Buckets in which each language's phrases are ranked first.
 BUCKETS = 64
@@ -59,6 +62,7 @@ EDGE = "\0"
 SURROGATES = 0xD800, 0x800
 #: Which n-grams of a hot pivot a row is for.
 ALL, WITH_LEFT, WITHOUT_LEFT = range(3)
+#: Of the dictionary: a hot pivot, or an empty one with the number of a group as share.
 FRAGMENTS = "lang string, pivot string, rare boolean, side int, share int, packed string, weights array<bigint>"
 
 #: A-Z in lower case, tabs as spaces, and each separator as a full stop, which no word has.
@@ -150,8 +154,9 @@ def order_of(words: DataFrame, least: int = LEAST, most: int = DICTIONARY) -> Or
     return Order(rows, held == sum(levels.values()))
 
 
-def _near(text: str, longest: int) -> Iterator[tuple[str, Counter]]:
-    """Each pivot of a string of a character a word, with the fragments over it."""
+def _near(text: str, longest: int, hot: int = 0, groups: int = GROUPS) -> Iterator[tuple[int, Counter]]:
+    """The fragments over each group of pivots of a string of a character a word; each of the ``hot`` first
+    characters is a group of its own, the negative of its code."""
     around, n = longest - 1, len(text)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
     at = np.full(n + 2 * around, CUT)
@@ -164,11 +169,14 @@ def _near(text: str, longest: int) -> Iterator[tuple[str, Counter]]:
             count += on
         reach.append(count)
     pos = np.flatnonzero(reach[0] + reach[1])
-    pos = pos[np.argsort(codes[pos], kind="stable")]
-    starts = [*np.flatnonzero(np.diff(codes[pos], prepend=-1)).tolist(), len(pos)]
+    last = ord(character(hot - 1)) if hot else 0
+    group = np.where(codes[pos] <= last, -codes[pos], codes[pos] % groups)
+    order = np.argsort(group, kind="stable")
+    pos, group = pos[order], group[order]
+    starts = [*(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(pos)]
     lo, hi = (pos - reach[0][pos]).tolist(), (pos + reach[1][pos] + 1).tolist()
-    for s, e in zip(starts, starts[1:], strict=False):
-        yield text[pos[s]], Counter([text[a:b] for a, b in zip(lo[s:e], hi[s:e], strict=True)])
+    for s, e in zip([0, *starts] if len(pos) else [], starts, strict=False):
+        yield int(group[s]), Counter([text[a:b] for a, b in zip(lo[s:e], hi[s:e], strict=True)])
 
 
 def _near_rare(words: list[bytes], known: dict[bytes, str], longest: int) -> dict[str, Counter]:
@@ -211,7 +219,7 @@ def _dealt(pivot: str, found: Counter, shares: int) -> Iterator[tuple[int, int,
 
 
 def fragments(docs: DataFrame, order, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``FRAGMENTS``: the rewritten fragments of a slice of texts, by pivot. Those that occur more
+    """``FRAGMENTS``: the rewritten fragments of a slice of texts, by group of pivots. Those that occur more
     than once come first, as the weights are theirs."""
 
     def row(name: str, pivot: str, rare: bool, side: int, share: int, found: dict[str, int]) -> tuple:
@@ -225,10 +233,11 @@ def fragments(docs: DataFrame, order, longest: int = LONGEST, text: str = "text"
         for spoken in _by_language(batches):
             for name, words in spoken:
                 characters, shares, rows = known.characters(name), known.share(name), []
-                for pivot, found in _near("".join(map(characters.get, words, repeat(EDGE))), longest):
-                    if pivot not in shares:
-                        rows.append(row(name, pivot, False, ALL, 0, found))
+                for group, found in _near("".join(map(characters.get, words, repeat(EDGE))), longest, len(shares)):
+                    if group >= 0:
+                        rows.append(row(name, "", False, ALL, group, found))
                         continue
+                    pivot = chr(-group)
                     cut_at = {(a, b): c for x, c in found.items() for a, _, b in [x.partition(pivot)]}
                     for side, share, part in _dealt(pivot, cut_at, shares[pivot]):
                         rows.append(row(name, pivot, False, side, share, {a + pivot + b: c for (a, b), c in part.items()}))
@@ -317,16 +326,21 @@ def phrase_counts(packed: DataFrame, order, least: int = LEAST, longest: int = L
         for (lang, pivot, rare, side, _), found, whole in chunks(batches):
             if rare:
                 split = ((x.split(" "), c) for x, c in found.items())
-                rows = [(tuple(w[: w.index(".")]), tuple(w[w.index(".") + 1 :]), c) for w, c in split]
-                phrase = lambda a, b: " ".join([*a, pivot, *b])  # noqa: B023, E731
+                rows = {pivot: [(tuple(w[: w.index(".")]), tuple(w[w.index(".") + 1 :]), c) for w, c in split]}
+                phrase = lambda p, a, b: " ".join([*a, p, *b])
             else:
-                rows = [(a, b, c) for x, c in found.items() for a, _, b in [x.partition(pivot)]]
-                phrase = lambda a, b: " ".join(known.spelled(lang, a + pivot + b))  # noqa: B023, E731
-            for a, b, c in _mined(rows, side, least, longest) if whole else _every(rows, side, longest):
-                held.append((lang, phrase(a, b), c))
-                if len(held) == 10_000:
-                    yield batch_of(held)
-                    held = []
+                rows = {}
+                for x, c in found.items():
+                    p = max(x)  # a fragment's pivot is its rarest word
+                    a, _, b = x.partition(p)
+                    rows.setdefault(p, []).append((a, b, c))
+                phrase = lambda p, a, b: " ".join(known.spelled(lang, a + p + b))  # noqa: B023, E731
+            for p, own in rows.items():
+                for a, b, c in _mined(own, side, least, longest) if whole else _every(own, side, longest):
+                    held.append((lang, phrase(p, a, b), c))
+                    if len(held) == 10_000:
+                        yield batch_of(held)
+                        held = []
         yield batch_of(held)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:

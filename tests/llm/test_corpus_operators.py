@@ -236,3 +236,14 @@ def test_urls_without_scheme_stay_apart(spark):
     urls = [("mailto:b@c",), ("dns:a.example",), ("www.q.org/p",), ("HTTP://WWW.Q.org:80/p/#x",), (None,)]
     got = [r[0] for r in spark.createDataFrame(urls, "u string").select(warc.canonical_url(warc.F.col("u"))).collect()]
     assert got == ["mailto:b@c", "dns:a.example", "www.q.org/p", "q.org/p", None]
+
+
+def test_fragments_of_a_slice_are_few_rows(spark):
+    """Nearly all of 40,000 words are pivots, which had a row each."""
+    words = [f"w{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 3, "lang string, text string").coalesce(1)
+    order = spark.sparkContext.broadcast(collocations.order_of(collocations.word_counts(docs), 3))
+    packed = collocations.fragments(docs, order)
+    assert packed.count() <= collocations.GROUPS
+    got = collocations.phrase_counts(packed, order, 3, 2).collect()
+    assert {(r["phrase"], r["a"]) for r in got} == {(f"{a} {b}", 3) for a, b in zip(words, words[1:], strict=False)}
