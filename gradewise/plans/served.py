@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +32,12 @@ def page_by_key(spark: SparkSession, d: str, sort: str = "tx-desc") -> DataFrame
 
 def search_by_index(spark: SparkSession, d: str) -> DataFrame:
     """All cards that each of some searches finds, by the index."""
-    every, folder = cards(spark, d), shared_folder(spark, "index")
+    folder = shared_folder(spark, "index")
+    # What the index and the searches read of cards, written once for both.
+    cards(spark, d).select("pos", "id", "name", "model", "price", "snkPsa10Price", "tv7", "tv30", "p10tv7", "p10tv30").write.parquet(f"{folder}/cards")
+    every = spark.read.parquet(f"{folder}/cards")
     text_index.write_index(every, folder)
-    found = [text_index.indexed(every, folder, ProfitQuery(tx=0, roi=-1000, psaMax=None, q=n)).select(F.lit(n).alias("needle"), "id") for n in NEEDLES]
-    return reduce(DataFrame.unionByName, found)
+    return text_index.indexed_each(every, folder, ProfitQuery(tx=0, roi=-1000, psaMax=None), NEEDLES).select("needle", "id")
 
 
 def guide_cards(spark: SparkSession, d: str) -> DataFrame:

@@ -99,6 +99,39 @@ def test_candidates_are_few(spark, tmp_path):
     assert text_index.candidates(spark, str(tmp_path), "---") is None
 
 
+def test_the_index_is_a_list_for_each_piece_and_part(spark, tmp_path):
+    """The rows of the index are pieces of parts, not pieces of cards: cards of equal names add none."""
+    few, many = ([(pos, f"k{pos % 5}", "Pikachu", "SV1", None, None, 0, 0, 0, 0) for pos in range(n)] for n in (50, 4096))
+    rows = []
+    for i, data in enumerate((few, many)):
+        cards = spark.createDataFrame(data, "pos bigint, id string, name string, model string, price double, snkPsa10Price double, tv7 bigint, tv30 bigint, p10tv7 bigint, p10tv30 bigint")
+        text_index.write_index(cards, f"{tmp_path}/{i}")
+        rows.append(spark.read.parquet(f"{tmp_path}/{i}/fee=13000/rows").count())
+        for needle in ("k3", "K-3 未", "pika"):  # the first is shorter than a piece
+            found = sorted(r["pos"] for r in text_index.candidates(spark, f"{tmp_path}/{i}", needle).collect())
+            assert found == [pos for pos, *_ in data if needle == "pika" or pos % 5 == 3]
+    assert rows[0] == rows[1] < 50
+
+
+def test_many_searches_at_once_are_the_scans(spark, tmp_path):
+    """Places over many parts, also negative ones; needles of each kind, equal in compact form, and absent ones."""
+    cards = some_cards(spark, 300, 5).withColumn("pos", (F.col("pos") - 40) * 1500).cache()
+    text_index.write_index(cards, str(tmp_path), per_range=60)
+    needles = ["k1", "K-1", "-", "", "7", "sv1k2", "SV1 k2", "pikachu m", "様", "k1", "zzz", "z", "12 m-p k", "ピカチュウ"]
+    q = ProfitQuery(tx=0, roi=-1e9, psaMax=None)
+    want = sorted((n, r["pos"]) for n in dict.fromkeys(needles) for r in profit.matches(profit.with_profit(cards), ProfitQuery(tx=0, roi=-1e9, psaMax=None, q=n)).collect())
+    assert sorted((r["needle"], r["pos"]) for r in text_index.indexed_each(cards, str(tmp_path), q, needles).collect()) == want
+
+
+def test_a_search_tests_the_texts_of_its_candidates_alone(spark, tmp_path):
+    """A filter on the text must not move below the join with the candidates, where it would see all cards."""
+    cards = some_cards(spark, 300, 6).cache()
+    text_index.write_index(cards, str(tmp_path))
+    plan = text_index.indexed(cards, str(tmp_path), ProfitQuery(tx=0, roi=-1e9, psaMax=None, q="k123"))._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Contains(" in line]
+    assert tests and all("Join" in line for line in tests)
+
+
 def test_guide_prices(spark):
     rows = [(1, 50000.0, 10000.0), (2, 50499.0, 1e6), (3, 1000.0, 1.0), (4, None, 5.0), (5, 60000.0, None)]
     cards = spark.createDataFrame(rows, "id int, snkPsa10Price double, price double")
