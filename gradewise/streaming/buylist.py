@@ -13,7 +13,7 @@ source says so, so they count as the post of the empty id, as in ``operators.buy
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +25,30 @@ from gradewise.streaming.state import DAY_MS, append_available, combined, first_
 KEEP_DAYS = 400
 #: Lists of keys in a store. A store that was written with another number must be built again.
 BUCKETS = 1 << 12
+#: What stands between the keys of an entry, and before a letter that stands for one of the two in a key.
+BETWEEN, ESCAPE = "\x1f", "\x1e"
+
+
+def entries_of(keys: Iterable[str | None]) -> list[tuple[str | None]]:
+    """The entries of a list that hold these keys: one for all texts, one for null."""
+    texts, none = [], []
+    for k in keys:
+        texts.append(k.replace(ESCAPE, ESCAPE + "e").replace(BETWEEN, ESCAPE + "b")) if k is not None else none.append((None,))
+    return ([(BETWEEN.join(texts),)] if texts else []) + none[:1]
+
+
+def keys_of(entries: Iterable[tuple[str | None]]) -> set[str | None]:
+    out: set[str | None] = set()
+    for (text,) in entries:
+        keys = [None] if text is None else text.split(BETWEEN)
+        out.update(keys if text is None or ESCAPE not in text else (k.replace(ESCAPE + "b", BETWEEN).replace(ESCAPE + "e", ESCAPE) for k in keys))
+    return out
 
 
 class FirstOfKey(StatefulProcessor):
     """Gives the first row of each key that isn't in the store, and notes the key. The keys of a bucket are one
-    list, so that a batch asks the store once for each bucket, not for each key, and only adds to it."""
+    list, so that a batch asks the store once for each bucket, not for each key, and only adds to it. A batch
+    adds all its keys of a bucket as one entry, as the store reads a list whole for each entry that is added."""
 
     def __init__(self, key: str, order: tuple[str, ...], keep_days: int):
         self.key, self.order, self.keep_ms = key, order, keep_days * DAY_MS
@@ -44,9 +63,9 @@ class FirstOfKey(StatefulProcessor):
             k = r[self.key]
             if k not in first or place(r) < place(first[k]):
                 first[k] = r
-        seen = {e[0] for e in self.seen.get()} if self.seen.exists() else set()
+        seen = keys_of(self.seen.get()) if self.seen.exists() else set()
         yield from (r for k, r in first.items() if k not in seen)
-        self.seen.appendList([(k,) for k in first])  # known ones, too, which prolongs their life
+        self.seen.appendList(entries_of(first))  # known ones, too, which prolongs their life
 
     def close(self) -> None:
         pass

@@ -224,6 +224,35 @@ def test_a_bucket_of_keys_asks_the_store_once():
     assert store.asked == 2 and not list(step.handleInputRows((0,), iter(rows), None))
 
 
+def test_a_batch_adds_one_entry_to_a_bucket():
+    """The store reads a list whole for each entry that is added, so the entries mustn't be as many as the keys."""
+
+    class Store:
+        held, added = [], []
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            return iter(self.held)
+
+        def appendList(self, rows):  # noqa: N802
+            self.added = self.added + [len(rows)]
+            self.held = self.held + rows
+
+    odd = ["", " ", "\x1f", "\x1e", "\x1eb", "\x1ee", "\x1e\x1f", "\x1f\x1e", "a\x1fb", "a", "b", "\n", "\\", "\U0001f0cf"]
+    store, step = Store(), FirstOfKey("k", ("t",), 10)
+    step.init(store)
+    given = lambda keys: [r["k"] for r in step.handleInputRows((0,), iter([Row(k=k, t=0) for k in keys]), None)]
+    first, later = [f"k{i}" for i in range(1000)], ["a\x1f", "\x1fa", "e", "k", "\x1eb\x1f"]
+    assert given(first) == first and given(odd) == odd and given([*odd, *first]) == []
+    assert given(later) == later and given([None]) == [None] and given([None, "", *later]) == []
+    assert store.added == [1, 1, 1, 1, 1, 2]
+
+
 def test_the_first_rows_of_a_task():
     rows = pa.table({"k": ["a", "b", "a", None, None], "t": [2, 5, None, 4, 3], "x": ["p", "q", "r", "s", "t"]})
     assert sorted(first_rows(rows, "k", ("t", "x")).to_pylist(), key=repr) == sorted([{"k": "a", "t": None, "x": "r"}, {"k": "b", "t": 5, "x": "q"}, {"k": None, "t": 3, "x": "t"}], key=repr)
